@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -57,7 +58,21 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``durable`` that nothing to come reads, and let Spark drop shuffle files of phases now over."""
+    drop_path(table.sparkSession, table._scratch)
+    release(table.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go once their plans are unreachable on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

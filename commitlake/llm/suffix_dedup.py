@@ -20,7 +20,6 @@ Defined results: null and empty texts have no bytes; rows that share a doc_id ar
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import durable, small_batches, table
+from .common import discard, durable, release, small_batches, table
 
 LENGTH, K = 100, 32
 HOT = 4000
@@ -39,12 +38,6 @@ NULL_ID = -(1 << 63)
 POS_BITS = 40
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of phases that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def gram_hashes(raw: np.ndarray, k: int = K) -> np.ndarray:
     """A 64-bit hash of each k-byte gram, by doubling."""
     h = raw.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(12345)
@@ -247,8 +240,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     runs = durable(_runs_table(docs), "suffix-runs")
     often = runs.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    several = durable(runs.join(often, "g", "left_semi"), "suffix-several")
+    often = durable(often, "suffix-often")
     release(spark)
+    several = durable(runs.join(often, "g", "left_semi"), "suffix-several")
+    discard(often)
+    discard(runs)
     place = F.struct("doc", F.col("pos").bitwiseAND((1 << POS_BITS) - 1).alias("at"), "pos", "n")
     first = durable(several.groupBy("g", "s").agg(F.min(place).alias("f")).select("g", "s", F.col("f.doc").alias("d0"), F.col("f.at").alias("p0"), F.col("f.pos").alias("pos0"), F.col("f.n").alias("n0")), "suffix-first")
     mixed = first.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
