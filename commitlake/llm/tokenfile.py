@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,8 +36,8 @@ from .common import durable, scratch_path, small_batches, table
 END_ID = 2
 SEQ_LEN = 1024
 ROWS_PER_BATCH = 1024
-MAX_PIECES = 600_000
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+MAX_PIECES = 900_000
+_PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: characters on which Python's classes and those of the splitting rule agree
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-±´-¸º»¿-ɏ‐-‧]*")
 
@@ -65,23 +66,20 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian 16-bit bytes, without the end id."""
     tok, known, plain = _tokenizer(path)
     out: list[bytes] = [b""] * len(texts)
-    whole: list[int] = []
-    pack = lambda e: np.array(e.ids, dtype="<u2").tobytes()
-    for i, t in enumerate(texts):
-        if not (plain and _PLAIN.fullmatch(t)):
-            whole.append(i)
-            continue
-        pieces = _PIECES.findall(t)
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > MAX_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, map(pack, tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        out[i] = b"".join(map(known.__getitem__, pieces))
-    if whole:
-        for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = pack(e)
+    pack = lambda ids: struct.pack(f"<{len(ids)}H", *ids)
+    cut = {i: _PIECES.findall(t) for i, t in enumerate(texts) if plain and _PLAIN.fullmatch(t)}
+    whole = [i for i in range(len(texts)) if i not in cut]
+    every = set().union(*cut.values())
+    new = list(every.difference(known))
+    if len(known) + len(new) > MAX_PIECES:
+        known.clear()
+        new = list(every)
+    known.update(zip(new, [pack(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+    of = known.__getitem__
+    for i, pieces in cut.items():
+        out[i] = b"".join(map(of, pieces))
+    for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+        out[i] = pack(e.ids)
     return out
 
 
