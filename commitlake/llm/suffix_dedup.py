@@ -299,7 +299,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return named.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
 
 
-def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(table(spark, sf_dir, "documents"))
+def op10_frame(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_frame(table(spark, sf_dir, "documents"))
