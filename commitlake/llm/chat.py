@@ -54,14 +54,17 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """nodes (node long unique, parent long, score double) -> (path, node, up): chosen paths, ``up`` 0 at the leaf."""
     ids = nodes.select(F.col("node").alias("__id"))
     real = nodes.select("node", "parent", "score").join(ids, F.col("parent") == F.col("__id"), "left")
-    acc = durable(real.select("node", F.col("__id").alias("jump"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.when(F.col("__id").isNull(), F.col("node")).alias("root")), "chat-jumps")
+    start = durable(real.select("node", F.col("__id").alias("jump"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.when(F.col("__id").isNull(), F.col("node")).alias("root")), "chat-jumps")
+    # nodes that know their root leave the probing side, so a round works on what is deeper than it has reached
+    acc, below = start.where("jump is null"), start.where("jump is not null")
     levels, before = [], -1
-    while (open_now := acc.where("jump is not null").count()) and open_now != before:
-        levels.append(acc.where("jump is not null").select("node", "jump"))
+    while (open_now := below.count()) and open_now != before:
+        levels.append(below.select("node", "jump"))
         before = open_now
-        other = acc.select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("total").alias("__t"), F.col("root").alias("__r"))
-        step = acc.join(other, acc["jump"] == other["__n"], "left")
-        acc = durable(step.select("node", F.col("__j").alias("jump"), (F.col("total") + F.coalesce("__t", F.lit(0.0))).alias("total"), F.coalesce("root", "__r").alias("root")), "chat-jumps")
+        other = acc.unionByName(below).select(F.col("node").alias("__n"), F.col("jump").alias("__j"), F.col("total").alias("__t"), F.col("root").alias("__r"))
+        step = below.join(other, below["jump"] == other["__n"], "left")
+        step = durable(step.select("node", F.col("__j").alias("jump"), (F.col("total") + F.coalesce("__t", F.lit(0.0))).alias("total"), F.coalesce("root", "__r").alias("root")), "chat-jumps")
+        acc, below = acc.unionByName(step.where("jump is null")), step.where("jump is not null")
     parents = nodes.select(F.col("parent").alias("__p")).where("__p is not null").distinct()
     leaves = acc.where("root is not null").join(parents, F.col("node") == F.col("__p"), "left_anti")
     rank = F.row_number().over(W.partitionBy("root").orderBy(F.desc("total"), "node"))
