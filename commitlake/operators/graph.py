@@ -100,59 +100,110 @@ def graph_export(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return commits.select("id").withColumn("missing", F.lit(False)).unionByName(missing), edges(commits)
 
 
-def ancestors(commits: DataFrame, start: DataFrame | None = None, max_depth: int = 1000) -> DataFrame:
+def _hops(e: DataFrame, span: int = 8) -> DataFrame:
+    """(id, anc, d): ancestors within ``span`` (a power of two) levels and their least distance, by doubling.
+
+    A round of an expansion then advances ``span`` levels with one join; the table is about ``span`` times the edges.
+    """
+    hop, reach = e.select("id", F.col("parent").alias("anc"), F.lit(1).alias("d")).distinct(), 1
+    while reach < span:
+        far = hop.select(F.col("id").alias("anc"), F.col("anc").alias("up"), F.col("d").alias("d2"))
+        both = hop.join(far, "anc").select("id", F.col("up").alias("anc"), (F.col("d") + F.col("d2")).alias("d"))
+        hop, reach = written(hop.unionByName(both).groupBy("id", "anc").agg(F.min("d").alias("d")), "hops"), reach * 2
+    return hop
+
+
+def ancestors(commits: DataFrame, start: DataFrame | None = None, max_depth: int = 1000, span: int = 8) -> DataFrame:
     """(id, anc, depth): first appearance of each ancestor when parents are expanded level by level (self excluded).
 
-    ``start`` (id) bounds the expansion to the commits of interest.  Each level is one equi-join on the frontier; a
-    written table cuts the lineage.
+    ``start`` (id) bounds the expansion to the commits of interest.  A written table cuts the lineage of each round.
     """
-    e = edges(commits).select("id", "parent")
-    seed = e if start is None else e.join(start.select("id"), "id", "left_semi")
-    found = written(seed.select("id", F.col("parent").alias("anc")).distinct().withColumn("depth", F.lit(1)), "ancestors")
-    frontier, depth = found, 1
-    step = e.select(F.col("id").alias("anc"), F.col("parent").alias("up"))
+    hop = _hops(edges(commits), span)
+    ids = commits.select("id") if start is None else start.select("id").distinct()
+    frontier, depth, found = ids.select("id", F.col("id").alias("at")), 0, None
+    step = hop.select(F.col("id").alias("at"), "anc", "d")
     while depth < max_depth:
-        depth += 1
-        more = frontier.join(step, "anc").select("id", F.col("up").alias("anc")).distinct()
-        frontier = written(more.join(found, ["id", "anc"], "left_anti").withColumn("depth", F.lit(depth)), "ancestors")
+        more = frontier.join(step, "at").groupBy("id", "anc").agg((F.min("d") + depth).cast("int").alias("depth"))
+        new = written(more if found is None else more.join(found, ["id", "anc"], "left_anti"), "ancestors")
+        found = new if found is None else found.unionByName(new)
+        depth += span
+        frontier = new.where(F.col("depth") == depth).select("id", F.col("anc").alias("at"))
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
-        if depth % 8 == 0:
-            found = written(found, "ancestors")
     return found
 
 
-def lca_pairs(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, lca) for pairs of commits: a root has none; equal contents give a; a parent of the other gives itself;
-    else the common ancestor with the least greater depth, the newest of equals."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    anc = ancestors(commits, ids)
-    own = ids.withColumn("anc", F.col("id")).withColumn("depth", F.lit(0))
-    reach = anc.unionByName(own)
-    ra, rb = reach.select(F.col("id").alias("a"), "anc", F.col("depth").alias("da")), reach.select(F.col("id").alias("b"), "anc", F.col("depth").alias("db"))
-    both = pairs.join(ra, "a").join(rb, ["b", "anc"]).where(F.col("a") != F.col("b"))
-    stamped = both.join(commits.select(F.col("id").alias("anc"), F.col("ts").alias("_ts")), "anc")
-    best = stamped.groupBy("a", "b").agg(F.min_by("anc", F.struct(F.greatest("da", "db"), (-F.col("anc")).alias("n"))).alias("lca"))
-    roots = commits.where(F.size("parents") == 0).select(F.col("id").alias("r"))
-    free = pairs.join(roots, F.col("a") == F.col("r"), "left_anti").join(roots, F.col("b") == F.col("r"), "left_anti")
-    return pairs.join(free.join(best, ["a", "b"], "left").select("a", "b", "lca"), ["a", "b"], "left")
+def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int = 1000, span: int = 8) -> DataFrame:
+    """(a, b, lca) for pairs of commits, null where they have none.
+
+    A root has none; equal contents give ``a``; a parent of the other gives itself; else parents are expanded level by
+    level on both sides, and the newest readable commit of the first level that both have reached wins.  Pairs that
+    are settled leave the frontier, so the number of levels is that of the answers, not of the histories.
+    """
+    side = commits.select("id", "parents", *[c for c in ("checksum",) if c in commits.columns])
+    named = lambda x: side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns])
+    known = pairs.select("a", "b").distinct().join(named("a"), F.col("a") == F.col("id_a")).join(named("b"), F.col("b") == F.col("id_b"))
+    root = (F.size("parents_a") == 0) | (F.size("parents_b") == 0)
+    same = F.col("checksum_a") == F.col("checksum_b") if "checksum" in side.columns else F.lit(False)
+    quick = F.when(same, F.col("a")).when(F.array_contains("parents_a", F.col("b")), F.col("b")).when(F.array_contains("parents_b", F.col("a")), F.col("a"))
+    first = written(known.select("a", "b", F.when(~root, quick).alias("lca"), root.alias("done")), "lca")
+    settled = [first.where("done or lca is not null").select("a", "b", "lca")]
+    left = first.where("not done and lca is null").select("a", "b")
+    good = readable(commits).select(F.col("id").alias("anc"), F.col("ts").alias("_ts"))
+    step = _hops(edges(commits), span).select(F.col("id").alias("at"), "anc", "d")
+    sides = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
+    frontier, reach, depth = sides(left).select("id", F.col("id").alias("at")), None, 0
+    while depth < max_depth:
+        more = frontier.join(step, "at").groupBy("id", "anc").agg((F.min("d") + depth).alias("depth"))
+        new = written(more if reach is None else more.join(reach, ["id", "anc"], "left_anti"), "lca")
+        reach = new if reach is None else reach.unionByName(new)
+        depth += span
+        ra, rb = reach.select(F.col("id").alias("a"), "anc", F.col("depth").alias("da")), reach.select(F.col("id").alias("b"), "anc", F.col("depth").alias("db"))
+        met = left.join(ra, "a").join(rb, ["b", "anc"]).join(good, "anc")
+        found = written(met.groupBy("a", "b").agg(F.max_by("anc", F.struct(-F.greatest("da", "db"), "_ts", "anc")).alias("lca")), "lca")
+        settled.append(found)
+        left = written(left.join(found, ["a", "b"], "left_anti"), "lca")
+        frontier = new.where(F.col("depth") == depth).join(sides(left), "id", "left_semi").select("id", F.col("anc").alias("at"))
+        if frontier.isEmpty():
+            break
+    out = settled[0]
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return pairs.join(out, ["a", "b"], "left")
 
 
-def forest(commits: DataFrame, max_depth: int = 1000) -> DataFrame:
+def merge_bases(commits: DataFrame, leaf_set: DataFrame | None = None) -> DataFrame:
+    """(key, base, merged, unmerged): a fold of pairwise bases over the leaves of each key, oldest first.
+
+    Leaves that share no base with the fold so far are left out of the merge and reported.  The number of rounds is
+    that of the largest leaf set, which is at most the number of connections of a key.
+    """
+    found = leaf_set if leaf_set is not None else leaves(commits)
+    ranked = written(found.select("key", "id", F.row_number().over(W.partitionBy("key").orderBy("ts", "id")).alias("_n")), "bases")
+    state = ranked.where("_n = 1").select("key", F.col("id").alias("base"), F.array("id").alias("merged"), F.array().cast(found.select(F.array("id")).schema[0].dataType).alias("unmerged"))
+    for n in range(2, (ranked.agg(F.max("_n")).first()[0] or 0) + 1):
+        turn = ranked.where(F.col("_n") == n).select("key", F.col("id").alias("_c"))
+        joined = written(state.join(turn, "key", "left"), "bases")
+        pairs = joined.where("_c is not null").select(F.col("base").alias("a"), F.col("_c").alias("b"))
+        lca = lca_pairs(commits, pairs).select(F.col("a").alias("base"), F.col("b").alias("_c"), "lca").distinct()
+        step = joined.join(lca, ["base", "_c"], "left")
+        here = F.col("_c").isNotNull()
+        state = written(step.select("key", F.coalesce("lca", "base").alias("base"), F.when(here & F.col("lca").isNotNull(), F.concat("merged", F.array("_c"))).otherwise(F.col("merged")).alias("merged"), F.when(here & F.col("lca").isNull(), F.concat("unmerged", F.array("_c"))).otherwise(F.col("unmerged")).alias("unmerged")), "bases")
+    return state
+
+
+def forest(commits: DataFrame, max_depth: int = 100_000, span: int = 8) -> DataFrame:
     """(id, depth): the least distance of each commit from a root, breadth first."""
-    e = edges(commits).select("id", "parent")
-    known = written(commits.where(F.size("parents") == 0).select("id").withColumn("depth", F.lit(0)), "forest")
+    step = _hops(edges(commits), span).select("id", F.col("anc").alias("at"), "d")
+    known = written(commits.where(F.size("parents") == 0).select("id", F.lit(0).alias("depth")), "forest")
     frontier, depth = known, 0
     while depth < max_depth:
-        depth += 1
-        more = e.join(frontier.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").distinct()
-        frontier = written(more.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)), "forest")
+        more = step.join(frontier.select(F.col("id").alias("at")), "at").groupBy("id").agg((F.min("d") + depth).cast("int").alias("depth"))
+        new = written(more.join(known, "id", "left_anti"), "forest")
+        known, depth = known.unionByName(new), depth + span
+        frontier = new.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
-        if depth % 8 == 0:
-            known = written(known, "forest")
     return known
 
 
@@ -175,13 +226,14 @@ def unique_by_checksum(rows: DataFrame, checksum: str = "checksum") -> DataFrame
 
 
 def rendezvous(items: DataFrame, peers: DataFrame, item: str, peer: str, max_peers: int = 1000) -> DataFrame:
-    """(item, peer): the owner of each item is the peer of least md5(peer, item); peers are few, and counted."""
+    """(item, peer): the owner of each item is the peer of least md5(peer|item); peers are few, and counted."""
     if peers.limit(max_peers + 1).count() > max_peers:
         raise ValueError("too many peers")
-    score = F.md5(F.concat_ws("|", F.col(peer).cast("string"), F.col(item).cast("string")).cast("binary"))
-    listed = peers.agg(F.collect_set(peer).alias("_peers"))
-    wide = items.select(item).distinct().join(F.broadcast(listed)).select(item, F.explode("_peers").alias(peer))
-    return wide.groupBy(item).agg(F.min_by(peer, score).alias(peer))
+    listed = peers.agg(F.array_sort(F.collect_set(peer)).alias("_peers"))
+    score = lambda p: F.md5(F.concat_ws("|", p.cast("string"), F.col(item).cast("string")).cast("binary"))
+    wide = items.select(item).distinct().join(F.broadcast(listed))  # one row of max_peers names at most
+    best = F.array_min(F.transform("_peers", lambda p: F.struct(score(p).alias("s"), p.alias("p"))))
+    return wide.select(item, best["p"].alias(peer))
 
 
 def merge_leader(commits: DataFrame) -> DataFrame:
