@@ -54,12 +54,12 @@ def append_path(path: str | Column, *parts: str | Column) -> Column:
 
 def parse_path(path: str | Column) -> Column:
     """``/type/repo/item[/embed]`` as a struct."""
-    part = F.split(F.trim(F.lit("/"), col(path)), "/")
+    part = F.split(F.trim(col(path), F.lit("/")), "/")
     return F.struct(*[F.nullif(F.get(part, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(("type", "repo", "item", "embed"))])
 
 
 def normalize_repo_id(path: str | Column) -> Column:
-    return F.concat(F.lit("/"), F.trim(F.lit("/"), col(path)))
+    return F.concat(F.lit("/"), F.trim(col(path), F.lit("/")))
 
 
 def without_shard(repo: str | Column) -> Column:

@@ -24,8 +24,7 @@ def merge_records(leaves: DataFrame, base: DataFrame, fields: dict[str, str], ke
         if kind == "set":
             aggs += [F.first(old).alias(f"_0_{n}"), F.array_distinct(F.flatten(F.collect_list(F.array_except(_set(old), _set(v))))).alias(f"_1_{n}"), F.array_distinct(F.flatten(F.collect_list(F.array_except(_set(v), _set(old))))).alias(f"_2_{n}")]
         elif kind == "map":
-            put = F.transform(F.map_entries(F.map_filter(_map(v), lambda k, x, o=old: ~_map(o)[k].eqNullSafe(x))), lambda e, r=rank: F.struct(r.alias("r"), e["key"].alias("k"), e["value"].alias("v")))
-            gone = F.map_keys(F.map_filter(_map(old), lambda k, x, w=v: ~F.map_contains_key(_map(w), k)))
+            put, gone = _entries(v, old, rank)
             aggs += [F.any_value(_map(old)).alias(f"_0_{n}"), F.array_distinct(F.flatten(F.collect_list(gone))).alias(f"_1_{n}"), F.array_sort(F.flatten(F.collect_list(put))).alias(f"_2_{n}")]
         else:
             changed = ~v.eqNullSafe(old)
@@ -34,6 +33,13 @@ def merge_records(leaves: DataFrame, base: DataFrame, fields: dict[str, str], ke
     return grouped.select(*keys, *[_result(n, k).alias(n) for n, k in fields.items()])
 
 
+def _entries(new: Column, old: Column, rank: Column) -> tuple[Column, Column]:
+    """Entries that a leaf put, with its rank, and keys that it removed."""
+    put = F.map_filter(_map(new), lambda k, x: ~_map(old)[k].eqNullSafe(x))
+    gone = F.map_keys(F.map_filter(_map(old), lambda k, x: ~F.map_contains_key(_map(new), k)))
+    return F.transform(F.map_entries(put), lambda e: F.struct(rank.alias("r"), e["key"].alias("k"), e["value"].alias("v"))), gone
+
+
 def _result(n: str, kind: str) -> Column:
     old, gone, new = F.col(f"_0_{n}"), F.col(f"_1_{n}"), F.col(f"_2_{n}")
     if kind == "set":
