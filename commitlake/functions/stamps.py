@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .scalars import col
 
@@ -45,6 +46,6 @@ def midpoint(a: str, b: str) -> str:
     return "".join(out) + digest[:SUFFIX]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def between(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None or x == y else midpoint(x, y) for x, y in zip(a, b, strict=True)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
+from ..functions import richtext
 from ..functions.collections import checksum
 from ..operators import change, graph, merge, records, schema, sync
 from .registry import LOG, query
@@ -235,3 +236,38 @@ def sync_converge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, _ = sync.converge(*replicas(spark, sf_dir))
     count = lambda df, name: df.agg(F.count("*").alias(name))
     return count(a, "local_rows").join(count(b, "peer_rows")).join(count(a.intersect(b), "both_rows"))
+
+
+# rich text: pages stand for bodies, each a title and paragraphs
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.struct(c.alias("text"))
+    element = lambda tag, inner: F.to_json(F.struct(F.lit(tag).alias("tagName"), F.array(text(inner)).alias("children")))
+    parts = F.concat_ws(",", element("h1", F.col("c_name")), element("p", F.col("c_mktsegment")), F.concat(F.lit('{"ref":"n'), F.col("c_nationkey").cast("string"), F.lit('"}')))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('{"children":['), parts, F.lit("]}")).alias("body"))
+
+
+@query("select c_custkey, c_name || chr(10) || c_mktsegment as plain, 'n' || c_nationkey::varchar as refs, 'ltr' as direction from customer")
+def rt_plaintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bodies(spark, sf_dir).select("c_custkey", richtext.plain_text_of("body").alias("plain"), F.array_join(richtext.refs_of("body"), ",").alias("refs"), richtext.direction_of("body").alias("direction"))
+
+
+@query("select c_custkey, c_name || chr(10) || c_mktsegment || chr(10) || n_name as plain from customer join nation on n_nationkey = c_nationkey where n_nationkey <> 3 union all select c_custkey, c_name || chr(10) || c_mktsegment from customer where c_nationkey = 3")
+def rt_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations take the place of their markers; one was deleted."""
+    n = table(spark, sf_dir, "nation")
+    tree = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("text"))).alias("children")))
+    targets = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("ref"), tree.alias("body"), (F.col("n_nationkey") == 3).alias("deleted"))
+    out = richtext.compose_items(bodies(spark, sf_dir).withColumnRenamed("c_custkey", "key"), targets)
+    return out.select(F.col("key").alias("c_custkey"), richtext.plain_text_of("body").alias("plain"))
+
+
+@query()
+def rt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two leaves of each body: one appends to it, one drops its title's first letter."""
+    b = bodies(spark, sf_dir).select(F.col("c_custkey").alias("key"), F.col("body").alias("base"))
+    first = F.regexp_replace("base", r"\]\}$", ',{"tagName":"p","children":[{"text":"more"}]}]}')
+    leaf = lambda n, c: b.select("key", F.lit(n).alias("id"), F.lit(n).alias("ts"), "base", c.alias("body"))
+    merged = richtext.merge_rich_text(leaf(1, first).unionByName(leaf(2, F.replace("base", F.lit('"Customer'), F.lit('"ustomer')))))
+    return merged.select("key", richtext.plain_text_of("body").alias("plain"))

@@ -78,16 +78,18 @@ def query_log(lines: DataFrame, predicate: Column, limit: int) -> DataFrame:
 
 
 def to_json_lines(commits: DataFrame) -> DataFrame:
-    record = F.struct(F.concat_ws("/", "scheme_ns", "scheme_version").alias("s"), F.col("payload").alias("d"), F.lit(True).alias("n"), F.col("checksum").alias("cs"))
-    body = F.when(F.col("base").isNull(), F.struct(record.alias("r"), F.lit(None).cast("string").alias("b"))).otherwise(F.struct(F.lit(None).cast(record_type()).alias("r"), F.col("base").alias("b")))
+    """Commits as JSON objects; nulls are left out, and the payload is JSON text inside ``d``."""
+    marker = F.concat_ws("/", "scheme_ns", "scheme_version")
+    none = lambda kind: F.lit(None).cast(kind)
+    have = lambda name, kind="string": F.col(name) if name in commits.columns else none(kind)
+    record = F.struct(marker.alias("s"), F.try_parse_json("payload").alias("d"), F.lit(True).alias("n"), F.col("checksum").alias("cs"))
+    edit = F.struct(have("source_checksum").alias("sc"), F.col("checksum").alias("dc"), F.try_parse_json(have("edit")).alias("c"), marker.alias("s"))
+    full = F.col("base").isNull()
+    body = F.struct(F.when(full, record).alias("r"), F.col("base").alias("b"), F.when(~full, edit).alias("e"))
     known = [F.col(name).alias(short) for short, name in FIELDS.items() if name in commits.columns]
     return commits.select(F.to_json(F.struct(*known, body.alias("c"))).alias("value"))
 
 
-def record_type() -> str:
-    return "struct<s:string,d:string,n:boolean,cs:string>"
-
-
 def append_log(commits: DataFrame, existing: DataFrame | None, path: str) -> None:
     """Append commits whose id the log doesn't hold yet."""
     fresh = commits if existing is None else commits.join(existing.select("id"), "id", "left_anti")
