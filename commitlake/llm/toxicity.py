@@ -1,8 +1,10 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words are hashed to ``BUCKETS`` embeddings; filters of widths 1, 2 and 3 run over the whole text, each is max-pooled,
-and a dense layer gives a logit.  One embedding dimension starts from how unevenly a bucket's document frequency
-falls on the two labels of the training sample; all are then trained by gradient descent through the pooled maxima.
+Words and their stems (first bytes) are hashed to ``BUCKETS`` embeddings, word beside stem, so that forms never seen
+share what is known of their stem.  Filters of widths 1, 2 and 3 run over the whole sequence, each is max-pooled, and
+a dense layer gives a logit.  One embedding dimension starts from how unevenly a bucket's document frequency falls on
+the two labels of the training sample, beyond what chance allows; buckets with enough documents behind them are then
+trained by gradient descent through the pooled maxima.
 Scores are calibrated (Platt) on a part of the training fold that the weights never saw, weighted back to the label
 ratio of the whole fold; a decision threshold for each language, shrunk toward the global one, is chosen there too.
 Inputs of a score are the words of the text alone.
@@ -30,25 +32,28 @@ from .common import reserve, small_batches, table
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PAD = BUCKETS
-MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS = 2500, 5000, 20_000_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS = 2500, 5000, 10_000_000
 EPOCHS, BATCH = 6, 32
+CHANCE = 3.0  # deviations that a bucket's lean must exceed
+SUPPORT = 20  # documents that a bucket needs for its embedding to be trained further
+STEM = 6
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BUCKET: dict[bytes, int] = {}
+_BUCKET: dict[bytes, tuple[int, int]] = {}
 
 
 def word_ids(text: str | None) -> np.ndarray:
+    """Two buckets for each word, side by side: its own and that of its first ``STEM`` bytes."""
     if not text:
         return np.zeros(0, dtype=np.int32)
     words = text.encode().translate(_FOLD).split()
-    try:
-        return np.fromiter(map(_BUCKET.__getitem__, words), dtype=np.int32, count=len(words))
-    except KeyError:
-        if len(_BUCKET) > 1_000_000:
-            _BUCKET.clear()
-        for w in words:
-            if w not in _BUCKET:
-                _BUCKET[w] = zlib.crc32(w) & (BUCKETS - 1)
-        return np.fromiter(map(_BUCKET.__getitem__, words), dtype=np.int32, count=len(words))
+    if not words:
+        return np.zeros(0, dtype=np.int32)
+    new = set(words).difference(_BUCKET)
+    if len(_BUCKET) + len(new) > 1_000_000:
+        _BUCKET.clear()
+        new = set(words)
+    _BUCKET.update((w, (zlib.crc32(w) & (BUCKETS - 1), zlib.crc32(w[:STEM], 1) & (BUCKETS - 1))) for w in new)
+    return np.array(list(map(_BUCKET.__getitem__, words)), dtype=np.int32).ravel()
 
 
 def _lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,16 +80,29 @@ class Model:
         self.trained = False
 
     def inform(self, docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-        """Set dimension 0; returns which buckets are frequent enough to be trained."""
+        """Set dimension 0; returns which buckets are trained.
+
+        Near copies of a document (equal bottom-8 sketches of its buckets) count once, lest the words of one much
+        copied text look like words of a label.  Buckets whose lean may be chance are silent: a long text has many of
+        them, and a maximum over noise grows with length.
+        """
+        seen: dict[bytes, set[int]] = {}
         count = np.zeros((2, BUCKETS))
+        n = [0, 0]
         for d, label in zip(docs, y, strict=True):
-            count[int(label), np.unique(d)] += 1
-        n, p = (y == 0).sum(), (y == 1).sum()
-        pool = (count.sum(0) + 0.5) / (n + p + 1)
-        z = (count[1] / p - count[0] / n) / np.sqrt(pool * (1 - pool) * (1 / p + 1 / n))
-        seen = count.sum(0) >= 3
-        self.emb[:BUCKETS, 0] = np.where(seen, np.clip(z / 5, -3, 3), 0)
-        return np.append(seen, False)
+            own = np.unique(d)
+            sketch = np.sort(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:8].tobytes()
+            if int(label) in seen.setdefault(sketch, set()):
+                continue
+            seen[sketch].add(int(label))
+            count[int(label), own] += 1
+            n[int(label)] += 1
+        pool = (count.sum(0) + 0.5) / (sum(n) + 1)
+        z = (count[1] / n[1] - count[0] / n[0]) / np.sqrt(pool * (1 - pool) * (1 / n[1] + 1 / n[0]))
+        lean = np.where(count.sum(0) >= 3, np.sign(z) * np.maximum(np.abs(z) - CHANCE, 0) / 5, 0)
+        self.emb[:BUCKETS, 0] = np.clip(lean, -3, 3)
+        self.emb[:BUCKETS][lean == 0] = 0
+        return np.append((lean != 0) & (count.sum(0) >= SUPPORT), False)
 
     def _pool(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima (docs, widths * filters) and where their windows start."""
@@ -215,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__l", F.col("toxic").cast("int").alias("toxic"), F.col("__f").cast("int").alias("__f"))
     for r in sample.mapInArrow(encode, "doc_id long, ids binary, lang string, toxic int, f int").toLocalIterator():
         ids = np.frombuffer(bytes(r["ids"]), dtype=np.int32)
-        words += len(ids)
+        words += len(ids) // 2
         if words > MAX_WORDS:
             break
         got.append((r["doc_id"], ids, r["lang"], int(r["toxic"] > 0), r["f"]))
