@@ -207,3 +207,31 @@ def test_rich_text_normal_form():
     assert rt.normalise({"children": []}) == {"children": [{"tagName": "p", "children": [{"text": ""}]}]}
     assert rt.plain_text(rt.strip_formatting(TREE)) == "Titlesome boldone"
     assert [p["key"] for p in rt.live_pointers([{"key": "b", "type": "anchor", "expiration": 5}, {"key": "a", "type": "focus"}, {"key": "c", "type": "focus", "expiration": 1}], 3)] == ["a", "b"]
+
+
+def test_deltas_and_good_ancestors(spark):
+    from commitlake.operators import records, stats, sync
+
+    kinds = {"x": ("string", "string"), "y": ("string", "string")}
+    long = "z" * 100
+    rows = [("f", None, True, ("a", long), 1), ("d", "f", False, ("b", long), 2), ("e", "f", False, ("b", "c" * 99), 3)]
+    df = spark.createDataFrame(rows, "id string, base string, is_full boolean, record struct<x:string,y:string>, age long")
+    got = {r["id"]: r for r in records.deltas(df, kinds).collect()}
+    assert got["f"]["kept"] is False and got["d"]["delta_length"] < got["d"]["full_length"] < got["e"]["delta_length"] and got["e"]["kept"] is False
+    graph_rows = [("r", [], False), ("a", ["r"], True), ("b", ["a"], True), ("c", ["b", "r"], True)]
+    chain = spark.createDataFrame(graph_rows, "id string, parents array<string>, corrupt boolean")
+    assert {(r["id"], r["good"]) for r in records.newest_good_ancestor(chain).collect()} == {("a", "r"), ("b", "r"), ("c", "r")}
+    assert [sync.sync_rounds(d, 1000) for d in (100, 2500, 9000)] == [1, 2, 3] and abs(sync.sync_fpr(1000, 1, 3) - 0.01) < 1e-12
+    m = spark.createDataFrame([("n", 1.0, 1), ("n", 3.0, 2)], "name string, v double, t int")
+    assert [r["value"] for r in stats.exposition(stats.metric_rollup(m, ["name"], "v", "t"), "name").collect()] == ["n_count 2", "n_sum 4.0"]
+
+
+def test_bloom_filter_bounds(spark):
+    from commitlake.operators import sync
+
+    ids = spark.range(11_000).withColumn("v", F.concat(F.lit("element-"), F.col("id").cast("string")))
+    known = ids.where("id < 1000")
+    f = sync.build(known, "v", 1000, 0.01)
+    assert sync.may_contain(known, "v", f).count() == 1000
+    assert sync.may_contain(ids.where("id >= 1000"), "v", f).count() <= 0.02 * 10_000
+    assert 0.3 < sync.fill_rate(f) < 0.7 and sync.encode(f).agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == f.bits.count()
