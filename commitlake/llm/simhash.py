@@ -7,6 +7,9 @@ radius plus threshold (per block, the excess over the radius sums to at most 2):
 differ in at most 2 bits, y reaches the home of x, so one equi-join on the anchor finds every link, and an exact
 ``bit_count(xor)`` decides it.  Work is on distinct fingerprints: copies collapse before anything is replicated.
 
+The pipeline's stage ``near_dedup`` has its own rule, Jaccard similarity of 5-word shingle sets: prefix filtering
+(Chaudhuri et al., 2006) finds every pair that can reach it, and the exact similarity decides.
+
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; repeated rows get
 a row each; a null doc_id is never a component id unless no id of its group is known (then null).
 """
@@ -18,13 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
-from .common import connected_components, durable, reserve, small_batches, table
+from .common import connected_components, discard, durable, reserve, small_batches, table
 
 THRESHOLD = 2
 SHINGLE = 3
+NEAR_SHINGLE, NEAR = 5, (4, 5)  # words of a shingle, and Jaccard similarity as a fraction, of the pipeline's stage
+ORDER_SAMPLE, ORDER_TERMS = 8_000, 500_000
 BLOCKS = (0, 23)  # where each Golay block starts
 BLOCK_BITS = 23
 _GOLAY = 0b101011100011  # generator polynomial of the perfect [23,12] code
@@ -154,13 +159,114 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return salted.join(many, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
+def _shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the text's shingles of ``NEAR_SHINGLE`` words, in ascending order."""
+    return np.unique(np.array(text_hashes(text.encode(), NEAR_SHINGLE) if text else [], dtype=np.uint64).view(np.int64))
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [_shingle_set(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
+
+
+def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that come up again and again in a sample, and their counts there; they only order prefixes."""
+    every = max(1, rows.count() // ORDER_SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("__row"), F.lit(every)) == 0).select("__row", "text").mapInArrow(_set_batches, "node long, h array<long>")
+    counts = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    found = counts.orderBy(F.desc("n"), "h").limit(ORDER_TERMS).toArrow()
+    h, n = found.column("h").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, d1, d2, n, keys): digest and size of each row's shingle set, and its prefix.
+
+    Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, whatever the one order
+    of shingles that all sets are sorted by.  Common ones come last here, so that the lists of keys stay short.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows))  # bounded by ORDER_TERMS
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for b in batches:
+            digests, sizes, keys = [], [], []
+            for text in b.column(2).to_pylist():
+                h = _shingle_set(text)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+                keys.append(h[: len(h) - -(-len(h) * NEAR[0] // NEAR[1]) + 1])
+            d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "d1", "d2", "n", "keys"])
+
+    small_batches(rows.sparkSession)
+    found = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "row long, doc_id long, d1 long, d2 long, n int, keys array<long>")
+    return durable(found, "near-prefixes")
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
+
+
+def _similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of rows whose shingle sets have a Jaccard similarity of ``NEAR`` or more."""
+    asked = pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct()
+    sets = durable(rows.select("__row", "text").join(asked, "__row", "left_semi").mapInArrow(_set_batches, "node long, h array<long>"), "near-sets")
+    wide = pairs.join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
+    both = F.size(F.array_intersect("ha", "hb"))
+    links = durable(wide.where(both * (NEAR[0] + NEAR[1]) >= (F.size("ha") + F.size("hb")) * NEAR[0]).select("a", "b"), "near-links")
+    discard(sets)
+    return links
+
+
+def similar_sets(rows: DataFrame) -> DataFrame:
+    """(component, doc_id, row): for each group of rows linked by similar shingle sets, its smallest doc_id and row.
+
+    Equal sets are one node.  Every node is first compared with the smallest node on the list of each of its keys,
+    which settles groups of near copies with a number of comparisons in proportion to their size; then all pairs on a
+    list that are in different components yet are compared.  A link is only made by the exact similarity.
+    """
+    marked = _prefixes(rows)
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
+    nodes = durable(marked.groupBy("d1", "d2").agg(F.min("row").alias("node"), low).select("node", "low"), "near-nodes")
+    lists = marked.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n")
+    first = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("__c")).where("__c > 1").select("key", "first")
+    lists = durable(lists.join(first, "key").select("key", "node", "n", "first"), "near-lists")
+    discard(marked)
+    star = lists.where((F.col("node") > F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n")))
+    links = _similar(rows, durable(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs"))
+    linked = connected_components(links)
+    placed = lists.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("__a"), F.max("c").alias("__b")).where("__a < __b").select("key")
+    placed = durable(placed.join(open_keys, "key", "left_semi"), "near-open")
+    discard(lists)
+    groups = placed.groupBy("key", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"])
+    # sizes of the two groups must come near each other
+    fit = (F.col("most_a") * NEAR[1] >= F.col("least_b") * NEAR[0]) & (F.col("most_b") * NEAR[1] >= F.col("least_a") * NEAR[0])
+    met = side(groups, "a").join(side(groups, "b"), "key").where((F.col("c_a") < F.col("c_b")) & fit).select("key", "c_a", "c_b")
+    cross = met.join(side(placed, "a"), ["key", "c_a"]).join(side(placed, "b"), ["key", "c_b"]).where(_sizes_fit(F.col("n_a"), F.col("n_b")))
+    cross = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    links = links.unionByName(_similar(rows, durable(cross, "near-pairs")))
+    found = nodes.join(connected_components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("low").alias("low"))
+    return found.select("component", "low.doc_id", "low.row")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document, that of the smallest id, of each group of near-duplicates."""
-    reserve(docs, "__keep", "__n")
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.lit(1).alias("__keep"))
-    keep = keep.withColumnRenamed("doc_id", "__id")
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"])).drop("__id", "__keep")
+    """The rows of ``docs`` with one document, that of the smallest id, of each group of near-duplicates.
+
+    Near-duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, and all that
+    such links connect; documents without words are one group.
+    """
+    reserve(docs, "__keep", "__n", "__row")
+    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    keep = similar_sets(rows).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"])).drop("__id")
     one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))  # repeated rows of an id
     return kept.withColumn("__n", one).where("__n = 1").select(docs.columns)
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -90,6 +91,38 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def jaccard_groups(texts, width=5):
+    """Smallest row of each text's group, by comparing the sets of all pairs."""
+
+    def grams(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_dedup_links_by_jaccard_of_five_words(spark):
+    rng = random.Random(11)
+    vocab, texts = [f"w{i}" for i in range(3000)], ["", None, "One two", "one TWO"]
+    for size, changes in [(200, 2), (200, 4), (60, 1), (30, 1), (9, 1), (200, 5), (200, 6), (1500, 20)] * 4:
+        words = rng.choices(vocab, k=size)
+        texts.append(" ".join(words))
+        for _ in range(4):  # a chain of copies, so that links past the first of a group count
+            for at in rng.sample(range(size), changes):
+                words[at] = rng.choice(vocab)
+            texts.append(" ".join(words))
+    root = jaccard_groups(texts)
+    assert len(set(root)) < 0.8 * len(texts)
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert ORDER((r["doc_id"],) for r in got.collect()) == ORDER((r,) for r in set(root))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
