@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql import Window as W
 
 from .common import connected_components, discard, durable, reserve, small_batches, table
 
@@ -261,14 +260,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document, that of the smallest id, of each group of near-duplicates.
 
     Near-duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, and all that
-    such links connect; documents without words are one group.
+    such links connect; documents without words are one group.  Rows are told apart by a row id, not by ``doc_id``, and the
+    one of the smallest (doc_id, row id) stays, a null id last.
     """
-    reserve(docs, "__keep", "__n", "__row")
+    reserve(docs, "__row")
     rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    keep = similar_sets(rows).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["__id"])).drop("__id")
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))  # repeated rows of an id
-    return kept.withColumn("__n", one).where("__n = 1").select(docs.columns)
+    keep = similar_sets(rows).select(F.col("row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,6 +123,13 @@ def test_near_dedup_links_by_jaccard_of_five_words(spark):
     assert ORDER((r["doc_id"],) for r in got.collect()) == ORDER((r,) for r in set(root))
 
 
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(3, text("x")), (5, text("x")), (5, text("y")), (None, text("p")), (None, text("q")), (None, text("y")), (None, text("q"))]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert ORDER(map(tuple, got)) == ORDER([(3, text("x")), (5, text("y")), (None, text("p")), (None, text("q"))])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
