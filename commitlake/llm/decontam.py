@@ -55,8 +55,11 @@ def _runs(at: np.ndarray, gap: int) -> np.ndarray:
     return np.repeat(lengths, lengths)
 
 
-def build_index(docs: DataFrame, windows: list[tuple[str, tuple[bytes, ...]]], slack: int = 0) -> DataFrame:
-    """(uid, doc_id, n_words, term, pos): a document's row has a null term, a posting's row a null n_words."""
+def build_index(docs: DataFrame, windows: list[tuple[str, tuple[bytes, ...]]], slack: int = 0, uid: str | None = None) -> DataFrame:
+    """(uid, doc_id, n_words, term, pos): a document's row has a null term, a posting's row a null n_words.
+
+    ``uid`` names a column of unique row ids to take; without it rows are numbered.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     terms = {t: i for i, t in enumerate(sorted({t for _, w in windows for t in w}))}
@@ -68,7 +71,7 @@ def build_index(docs: DataFrame, windows: list[tuple[str, tuple[bytes, ...]]], s
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, least = shared.value
-        uid = TaskContext.get().partitionId() << 36
+        base = TaskContext.get().partitionId() << 36
         for b in batches:
             rows, counts, owner, term, pos = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -87,7 +90,7 @@ def build_index(docs: DataFrame, windows: list[tuple[str, tuple[bytes, ...]]], s
             extra = len(which) - n
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(which + uid),
+                    pa.array(which + base) if uid is None else b.column(2).take(pa.array(which)),
                     pa.array(rows, pa.int64()).take(pa.array(which)),
                     pa.array(counts + [None] * extra, pa.int64()),
                     pa.array([None] * n, pa.int32()) if not extra else pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.concatenate(term).astype(np.int32))]),
@@ -95,9 +98,9 @@ def build_index(docs: DataFrame, windows: list[tuple[str, tuple[bytes, ...]]], s
                 ],
                 names=["uid", "doc_id", "n_words", "term", "pos"],
             )
-            uid += n
+            base += n
 
-    index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "uid long, doc_id long, n_words long, term int, pos int")
+    index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if uid is None else [uid])).mapInArrow(scan, "uid long, doc_id long, n_words long, term int, pos int")
     return durable(index, "postings")
 
 
@@ -173,14 +176,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs; shorter items than ``min_words`` are no evidence."""
-    reserve(docs, "__bad")
+    reserve(docs, "__uid")
     spark = docs.sparkSession
     windows = [(i, w) for i, w in benchmark_windows(benchmark) if len(w) >= min_words]
-    index = build_index(docs, windows)
-    found = phrase_matches(index, ranked_windows(spark, index, windows)).select("uid").distinct()
-    rows = index.where("term is null").select("uid", F.col("doc_id").alias("__bad"))
-    bad = rows.join(found, "uid", "left_semi").select("__bad").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    rows = durable(docs.withColumn("__uid", F.monotonically_increasing_id()), "decontam-rows")  # ids are no keys: they repeat
+    index = build_index(rows, windows, uid="__uid")
+    bad = phrase_matches(index, ranked_windows(spark, index, windows)).select(F.col("uid").alias("__uid")).distinct()
+    return rows.join(bad, "__uid", "left_anti").select(docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

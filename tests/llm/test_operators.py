@@ -399,3 +399,11 @@ def test_repeats_of_crowded_anchors(spark, monkeypatch):
 
 def test_no_repeats_in_an_empty_table(spark):
     assert suffix_dedup.op10_frame(brute.documents(spark).limit(0)).count() == 0
+
+
+def test_drop_contaminated_keeps_clean_rows_of_a_shared_id(spark):
+    item = "one two three four five six seven eight nine"
+    rows = [(1, f"a {item} b"), (1, "a clean text"), (None, f"{item} end"), (None, "another clean text"), (2, "third clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert ORDER(map(tuple, got.collect())) == ORDER([rows[1], rows[3], rows[4]])
