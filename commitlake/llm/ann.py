@@ -67,6 +67,8 @@ class Hashing:
         at = np.stack(np.unravel_index(buckets, (2 * self.edge + 1,) * HASHES), axis=1) - self.edge
         low = np.where(at <= -self.edge, -1e9, at * self.width)
         high = np.where(at >= self.edge, 1e9, (at + 1) * self.width)
+        if self.target >= 1:
+            return np.ones((len(projected), len(buckets)), dtype=bool)
         success = np.ones((len(projected), len(buckets)))
         for h in range(HASHES):
             cuts, place = np.unique(np.concatenate((low[:, h], high[:, h])), return_inverse=True)
@@ -81,24 +83,32 @@ class Hashing:
 
 
 def fit(sample: np.ndarray, k: int = K) -> Hashing:
-    """Neighbour distance and the least target whose recall on the sample is ``WANTED``."""
+    """Neighbour distance and the least target whose recall on the sample is ``WANTED``; every bucket if none is.
+
+    The recall is asked of all queries and of those with far neighbours alone, which copies among the rest would hide;
+    the distance is the median of the far ones, then wider quantiles.
+    """
     x = unit(sample)
     q = np.arange(min(SAMPLE_QUERIES, len(x)))
     cos = x[q] @ x.T
     cos[q, q] = -9
     kk = min(k, max(1, len(x) - 1))
     best = np.argsort(-cos, axis=1)[:, :kk]
-    near = float(np.sqrt(np.maximum(1e-3, 2 - 2 * np.median(np.take_along_axis(cos, best, 1)[:, -1])))) if len(x) > 1 else 1.0
-    for target in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.94, 0.97, 0.99, 0.999):
-        h = Hashing(x.shape[1], near, target)
-        found = np.zeros(cos.shape, dtype=bool)
-        for t in range(TABLES):
-            p = h.project(t, x)
-            buckets, inverse = np.unique(h.cells(p), return_inverse=True)
-            found |= h.probes(p[q], buckets)[:, inverse]
-        if np.take_along_axis(found, best, 1).mean() >= WANTED:
-            break
-    return h
+    away = np.sqrt(np.maximum(1e-3, 2 - 2 * np.take_along_axis(cos, best, 1)[:, -1])) if len(x) > 1 else np.ones(len(q))
+    far = away > away.max() / 2
+    for quantile in (0.5, 0.75, 0.9, 1.0):
+        near = float(np.quantile(away[far], quantile))
+        for target in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.94, 0.97, 0.99, 0.999):
+            h = Hashing(x.shape[1], near, target)
+            found = np.zeros(cos.shape, dtype=bool)
+            for t in range(TABLES):
+                p = h.project(t, x)
+                buckets, inverse = np.unique(h.cells(p), return_inverse=True)
+                found |= h.probes(p[q], buckets)[:, inverse]
+            hit = np.take_along_axis(found, best, 1)
+            if min(hit.mean(), hit[far].mean()) >= WANTED:
+                return h
+    return Hashing(x.shape[1], near, 1.0)
 
 
 def nearest(queries: np.ndarray, q_ids: np.ndarray, members: np.ndarray, m_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +213,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         best = probes.withColumn("part", by_query).groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(scan, out)
         return best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    found = durable(search(asked, False), "ann-found")
+    found = durable(search(asked, hashing.target >= 1), "ann-found")
     enough = base.limit(k + 1).count() - 1
     lacking = asked.join(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough), F.col("vec_id") == F.col("query_id"), "left_anti")
     if not lacking.isEmpty():

@@ -269,6 +269,19 @@ def test_ann_recall_on_whole_table(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_ann_recall_beside_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x[1000:2400] = x[1000]  # a hot vector, then groups of ten copies
+    x[2400:3400] = np.repeat(x[2400:3400:10], 10, axis=0)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = range(0, 1000, 10)  # vectors without copies
+    least = {q: np.sort(np.delete(x @ x[q], q))[-5] for q in asked}
+    got = ann.neighbours(table, (F.col("vec_id") < 1000) & (F.col("vec_id") % 10 == 0)).collect()
+    assert sum(r["score"] >= least[r["query_id"]] - 1e-9 for r in got) >= 0.9 * 5 * len(asked)
+
+
 def test_ann_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (50, [0.0, 1.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("bucket", F.lit(1))
