@@ -5,12 +5,18 @@ Ages and timestamps order commits by ``(ts, id)``.  All operators are declarativ
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..sources.tables import written
 
 
+MAX_SPAN = 128  # levels of a round in long histories
+
+
 def newest_first() -> list[Column]:
     return [F.desc("ts"), F.desc("id")]
 
@@ -107,25 +113,42 @@ def _hops(e: DataFrame, span: int = 8) -> DataFrame:
     """
     hop, reach = e.select("id", F.col("parent").alias("anc"), F.lit(1).alias("d")).distinct(), 1
     while reach < span:
-        far = hop.select(F.col("id").alias("anc"), F.col("anc").alias("up"), F.col("d").alias("d2"))
-        both = hop.join(far, "anc").select("id", F.col("up").alias("anc"), (F.col("d") + F.col("d2")).alias("d"))
-        hop, reach = written(hop.unionByName(both).groupBy("id", "anc").agg(F.min("d").alias("d")), "hops"), reach * 2
+        hop, reach = _doubled(hop), reach * 2
     return hop
 
 
-def ancestors(commits: DataFrame, start: DataFrame | None = None, max_depth: int = 1000, span: int = 8) -> DataFrame:
+def _doubled(hop: DataFrame) -> DataFrame:
+    far = hop.select(F.col("id").alias("anc"), F.col("anc").alias("up"), F.col("d").alias("d2"))
+    both = hop.join(far, "anc").select("id", F.col("up").alias("anc"), (F.col("d") + F.col("d2")).alias("d"))
+    return written(hop.unionByName(both).groupBy("id", "anc").agg(F.min("d").alias("d")), "hops")
+
+
+def _longer(hop: DataFrame, span: int, depth: int) -> tuple[DataFrame, int]:
+    """The table of hops and its span for the next round: long histories get longer hops, up to ``MAX_SPAN``."""
+    return (_doubled(hop), span * 2) if span < MAX_SPAN and depth >= 16 * span else (hop, span)
+
+
+def _grown(known: DataFrame | None, new: DataFrame, rounds: int, label: str) -> DataFrame:
+    """The union of a loop's rounds, written anew now and then so that its plan stays short."""
+    both = new if known is None else known.unionByName(new)
+    return both if rounds % 32 else written(both, label)
+
+
+def ancestors(commits: DataFrame, start: DataFrame | None = None, max_depth: int | None = None, span: int = 8) -> DataFrame:
     """(id, anc, depth): first appearance of each ancestor when parents are expanded level by level (self excluded).
 
     ``start`` (id) bounds the expansion to the commits of interest.  A written table cuts the lineage of each round.
+    All levels are expanded unless ``max_depth`` asks for fewer.
     """
     hop = _hops(edges(commits), span)
     ids = commits.select("id") if start is None else start.select("id").distinct()
-    frontier, depth, found = ids.select("id", F.col("id").alias("at")), 0, None
-    step = hop.select(F.col("id").alias("at"), "anc", "d")
-    while depth < max_depth:
+    frontier, depth, found, rounds = ids.select("id", F.col("id").alias("at")), 0, None, 0
+    while max_depth is None or depth < max_depth:
+        hop, span = _longer(hop, span, depth)
+        step, rounds = hop.select(F.col("id").alias("at"), "anc", "d"), rounds + 1
         more = frontier.join(step, "at").groupBy("id", "anc").agg((F.min("d") + depth).cast("int").alias("depth"))
         new = written(more if found is None else more.join(found, ["id", "anc"], "left_anti"), "ancestors")
-        found = new if found is None else found.unionByName(new)
+        found = _grown(found, new, rounds, "ancestors")
         depth += span
         frontier = new.where(F.col("depth") == depth).select("id", F.col("anc").alias("at"))
         if frontier.isEmpty():
@@ -133,7 +156,7 @@ def ancestors(commits: DataFrame, start: DataFrame | None = None, max_depth: int
     return found
 
 
-def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int = 1000, span: int = 8) -> DataFrame:
+def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int | None = None, span: int = 8) -> DataFrame:
     """(a, b, lca) for pairs of commits, null where they have none.
 
     A root has none; equal contents give ``a``; a parent of the other gives itself; else parents are expanded level by
@@ -150,26 +173,27 @@ def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int = 1000, span:
     settled = [first.where("done or lca is not null").select("a", "b", "lca")]
     left = first.where("not done and lca is null").select("a", "b")
     good = readable(commits).select(F.col("id").alias("anc"), F.col("ts").alias("_ts"))
-    step = _hops(edges(commits), span).select(F.col("id").alias("at"), "anc", "d")
+    hop = _hops(edges(commits), span)
     sides = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-    frontier, reach, depth = sides(left).select("id", F.col("id").alias("at")), None, 0
-    while depth < max_depth:
+    frontier, reach, depth, rounds = sides(left).select("id", F.col("id").alias("at")), None, 0, 0
+    while max_depth is None or depth < max_depth:
+        hop, span = _longer(hop, span, depth)
+        step, rounds = hop.select(F.col("id").alias("at"), "anc", "d"), rounds + 1
         more = frontier.join(step, "at").groupBy("id", "anc").agg((F.min("d") + depth).alias("depth"))
         new = written(more if reach is None else more.join(reach, ["id", "anc"], "left_anti"), "lca")
-        reach = new if reach is None else reach.unionByName(new)
+        reach = _grown(reach, new, rounds, "lca")
         depth += span
         ra, rb = reach.select(F.col("id").alias("a"), "anc", F.col("depth").alias("da")), reach.select(F.col("id").alias("b"), "anc", F.col("depth").alias("db"))
         met = left.join(ra, "a").join(rb, ["b", "anc"]).join(good, "anc")
         found = written(met.groupBy("a", "b").agg(F.max_by("anc", F.struct(-F.greatest("da", "db"), "_ts", "anc")).alias("lca")), "lca")
         settled.append(found)
+        if rounds % 32 == 0:
+            settled = [written(reduce(DataFrame.unionByName, settled), "lca")]
         left = written(left.join(found, ["a", "b"], "left_anti"), "lca")
         frontier = new.where(F.col("depth") == depth).join(sides(left), "id", "left_semi").select("id", F.col("anc").alias("at"))
         if frontier.isEmpty():
             break
-    out = settled[0]
-    for s in settled[1:]:
-        out = out.unionByName(s)
-    return pairs.join(out, ["a", "b"], "left")
+    return pairs.join(reduce(DataFrame.unionByName, settled), ["a", "b"], "left")
 
 
 def merge_bases(commits: DataFrame, leaf_set: DataFrame | None = None) -> DataFrame:
@@ -192,26 +216,28 @@ def merge_bases(commits: DataFrame, leaf_set: DataFrame | None = None) -> DataFr
     return state
 
 
-def forest(commits: DataFrame, max_depth: int = 100_000, span: int = 8) -> DataFrame:
+def forest(commits: DataFrame, max_depth: int | None = None, span: int = 8) -> DataFrame:
     """(id, depth): the least distance of each commit from a root, breadth first."""
-    step = _hops(edges(commits), span).select("id", F.col("anc").alias("at"), "d")
+    hop = _hops(edges(commits), span)
     known = written(commits.where(F.size("parents") == 0).select("id", F.lit(0).alias("depth")), "forest")
-    frontier, depth = known, 0
-    while depth < max_depth:
+    frontier, depth, rounds = known, 0, 0
+    while max_depth is None or depth < max_depth:
+        hop, span = _longer(hop, span, depth)
+        step, rounds = hop.select("id", F.col("anc").alias("at"), "d"), rounds + 1
         more = step.join(frontier.select(F.col("id").alias("at")), "at").groupBy("id").agg((F.min("d") + depth).cast("int").alias("depth"))
         new = written(more.join(known, "id", "left_anti"), "forest")
-        known, depth = known.unionByName(new), depth + span
+        known, depth = _grown(known, new, rounds, "forest"), depth + span
         frontier = new.where(F.col("depth") == depth)
         if frontier.isEmpty():
             break
     return known
 
 
-def descendants(commits: DataFrame, root: object, max_depth: int = 1000) -> DataFrame:
+def descendants(commits: DataFrame, root: object, max_depth: int | None = None) -> DataFrame:
     """(id): the subgraph below one commit."""
     e = edges(commits).select("id", "parent")
     known = frontier = written(e.where(F.col("parent") == root).select("id").distinct(), "below")
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         more = e.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct()
         frontier = written(more.join(known, "id", "left_anti"), "below")
         if frontier.isEmpty():

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.collections import checksum
 from .change import patch
-from .graph import newest_per
+from .graph import _grown, newest_per
 
 
 def record_checksum(record: str, fields: dict[str, tuple[str, str]]) -> Column:
@@ -34,19 +36,21 @@ def with_fallback(materialised: DataFrame) -> DataFrame:
     return materialised.join(good, "key", "left").withColumn("value", F.when(F.col("corrupt"), F.col("_good")).otherwise(F.col("value"))).drop("_good")
 
 
-def newest_good_ancestor(materialised: DataFrame, max_depth: int = 1000) -> DataFrame:
+def newest_good_ancestor(materialised: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, good): for each corrupt commit, its nearest ancestors that aren't corrupt."""
     from ..sources.tables import written
 
     step = materialised.select(F.col("id").alias("at"), F.explode("parents").alias("up"))
     bad = materialised.select(F.col("id").alias("up"), F.col("corrupt").alias("bad"))
     frontier = materialised.where("corrupt").select("id", F.col("id").alias("at"))
-    found = None
-    for _ in range(max_depth):
-        more = written(frontier.join(step, "at").join(bad, "up").select("id", F.col("up").alias("at"), "bad").distinct(), "good")
+    found = seen = None
+    for n in count(1) if max_depth is None else range(1, max_depth + 1):
+        more = frontier.join(step, "at").join(bad, "up").select("id", F.col("up").alias("at"), "bad").distinct()
+        more = written(more if seen is None else more.join(seen, ["id", "at"], "left_anti"), "good")
         good = more.where("not bad").select("id", F.col("at").alias("good"))
-        found = good if found is None else found.unionByName(good)
+        found = _grown(found, good, n, "good")
         frontier = more.where("bad").select("id", "at")
+        seen = _grown(seen, frontier, n, "good")
         if frontier.isEmpty():
             break
     return found.distinct()

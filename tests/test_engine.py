@@ -235,3 +235,13 @@ def test_bloom_filter_bounds(spark):
     assert sync.may_contain(known, "v", f).count() == 1000
     assert sync.may_contain(ids.where("id >= 1000"), "v", f).count() <= 0.02 * 10_000
     assert 0.3 < sync.fill_rate(f) < 0.7 and sync.encode(f).agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == f.bits.count()
+
+
+def test_ancestors_of_a_long_history(spark):
+    rows = [(str(i), "k", i, [str(i - 1)] if i else [], None) for i in range(1300)] + [("x", "k", 2000, ["0"], None)]
+    log = spark.createDataFrame(rows, "id string, key string, ts long, parents array<string>, base string")
+    start = spark.createDataFrame([("1299",)], "id string")
+    got = graph.ancestors(log, start, span=128).collect()
+    assert sorted((r["depth"], r["anc"]) for r in got) == [(d, str(1299 - d)) for d in range(1, 1300)]
+    pairs = spark.createDataFrame([("1299", "x")], "a string, b string")
+    assert [tuple(r) for r in graph.lca_pairs(log, pairs, span=128).collect()] == [("1299", "x", "0")]
