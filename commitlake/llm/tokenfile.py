@@ -54,20 +54,20 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("the vocabulary doesn't fit 16-bit ids")
     spec = tok.pre_tokenizer
     plain = type(spec).__name__ == "ByteLevel" and tok.normalizer is None and not spec.add_prefix_space and spec.use_regex
-    return tok, {}, plain
+    added = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)")
+    return tok, {}, plain, added
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian 16-bit bytes, without the end id."""
-    tok, known, plain = _tokenizer(path)
+    tok, known, plain, added = _tokenizer(path)
     out: list[bytes] = [b""] * len(texts)
     pack = lambda ids: struct.pack(f"<{len(ids)}H", *ids)
-    cut = {i: _PIECES.findall(t) for i, t in enumerate(texts) if plain and _PLAIN.fullmatch(t)}
+    cut = {i: _PIECES.findall(t) for i, t in enumerate(texts) if plain and _PLAIN.fullmatch(t) and not added.search(t)}
     whole = [i for i in range(len(texts)) if i not in cut]
     every = set().union(*cut.values())
     new = list(every.difference(known))

@@ -420,3 +420,14 @@ def test_drop_contaminated_keeps_clean_rows_of_a_shared_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert ORDER(map(tuple, got.collect())) == ORDER([rows[1], rows[3], rows[4]])
+
+
+def test_tokens_of_texts_with_an_added_token():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain text", "東京 <|endoftext|> x", *(t.content for t in tok.get_added_tokens_decoder().values())]
+    got = [np.frombuffer(raw, dtype="<u2").tolist() for raw in tokenfile.encode_texts(path, texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
