@@ -3,27 +3,29 @@
 Documents are range-partitioned by doc_id and sorted within each range; a task encodes its range and writes one Arrow
 IPC file: ``sequence`` is a fixed-size list of ``seq_len`` 16-bit ids (the vocabulary is checked to fit), ``mask`` a
 fixed-size list of bits, false for padding after the last document.  Every row has the same length, so sequence ``i``
-lies at ``i * seq_len`` of a batch's buffer: readers memory-map the file and take it without a copy.  A second file
-holds the index (doc_id, start in the file, n_tokens).  A task writes under a name of its own attempt and renames it
-when complete, so a lost or repeated task leaves whole files only; the manifest names the files of finished tasks.
-
-The tokenizer is applied to whole texts.  Texts of common Latin characters are first cut by the tokenizer's own
-splitting rule, and the library encodes each distinct piece of a worker once (pieces never merge across a cut); other
-texts go through the library whole.  Both give the ids of ``Tokenizer.encode``.
-
-Defined results: null and empty texts have only the end id; repeated and null ids are rows of their own (null first;
-ties by text); an empty table writes no file and gives an empty result.
+lies at ``i * seq_len`` of a batch's buffer and its mask at bit ``i * seq_len``: readers memory-map the file and take
+both as views, without a copy.  A second file holds the index (doc_id, start in the file, n_tokens), written batch by
+batch.  A task writes under a name of its own attempt and renames it when complete, so a lost or repeated task leaves
+whole files only; the manifest names the files of finished tasks.  Ranges are cut so that a file comes from about
+``FILE_BYTES`` of text, whatever the corpus; an id that many rows share is split over ranges by a hash of its texts.
+
+The tokenizer is applied to whole texts.  Texts of common Latin characters go by pieces (see ``pieces``), other texts
+through the library whole.  Both give the ids of ``Tokenizer.encode``.
+
+Defined results: null and empty texts have only the end id; a very long text is encoded by parts that end between
+pieces, with the ids of the whole; repeated and null ids are rows of their own (null first; ties by a hash of the text,
+then the text); an empty table writes no file and gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,13 @@ from pyspark.sql import Window as W
 from pyspark.taskcontext import TaskContext
 
 from .common import durable, scratch_path, small_batches, table
+from .pieces import CHUNK, Pieces, chunks, plain
 
 END_ID = 2
 SEQ_LEN = 1024
 ROWS_PER_BATCH = 1024
-MAX_PIECES = 900_000
-_PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: characters on which Python's classes and those of the splitting rule agree
-_PLAIN = re.compile("[\t\n\r -~¡-¬®-±´-¸º»¿-ɏ‐-‧]*")
+FILE_BYTES = 128 << 20
+READ_ROWS = 8192
 
 
 def file_system(uri: str):
@@ -50,6 +51,7 @@ def file_system(uri: str):
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The library's tokenizer, its pieces (none if it doesn't cut as they do) and a pattern of its added tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -57,47 +59,69 @@ def _tokenizer(path: str):
     if tok.get_vocab_size() > 1 << 16:
         raise ValueError("the vocabulary doesn't fit 16-bit ids")
     spec = tok.pre_tokenizer
-    plain = type(spec).__name__ == "ByteLevel" and tok.normalizer is None and not spec.add_prefix_space and spec.use_regex
+    by_bytes = type(spec).__name__ == "ByteLevel" and tok.normalizer is None and not spec.add_prefix_space and spec.use_regex
     added = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)")
-    return tok, {}, plain, added
-
-
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian 16-bit bytes, without the end id."""
-    tok, known, plain, added = _tokenizer(path)
-    out: list[bytes] = [b""] * len(texts)
-    pack = lambda ids: struct.pack(f"<{len(ids)}H", *ids)
-    cut = {i: _PIECES.findall(t) for i, t in enumerate(texts) if plain and _PLAIN.fullmatch(t) and not added.search(t)}
-    whole = [i for i in range(len(texts)) if i not in cut]
-    every = set().union(*cut.values())
-    new = list(every.difference(known))
-    if len(known) + len(new) > MAX_PIECES:
-        known.clear()
-        new = list(every)
-    known.update(zip(new, [pack(e.ids) for e in tok.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-    of = known.__getitem__
-    for i, pieces in cut.items():
-        out[i] = b"".join(map(of, pieces))
-    for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-        out[i] = pack(e.ids)
-    return out
+    return tok, Pieces(tok, END_ID) if by_bytes else None, added
+
+
+def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit ids of all texts in a row, the end id after each text, and the number of ids of each."""
+    tok, pieces, added = _tokenizer(path)
+    out, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    held: list[str] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            ids, n = pieces.encode("\0".join(held) + "\0")
+            out.append(ids)
+            counts.append(n)
+        held.clear()
+        size = 0
+
+    for text in texts:
+        if pieces is None or added.search(text) or not plain(text):
+            flush()
+            ids = np.array([*tok.encode(text, add_special_tokens=False).ids, END_ID], dtype=np.uint16)
+        elif len(text) > CHUNK:
+            flush()
+            parts = [pieces.encode(part + "\0")[0][:-1] for part in chunks(text)]
+            ids = np.append(np.concatenate(parts), np.uint16(END_ID))
+        else:
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                flush()
+            continue
+        out.append(ids)
+        counts.append(np.array([len(ids)], dtype=np.int64))
+    flush()
+    return np.concatenate(out), np.concatenate(counts)
 
 
 def _schema(seq_len: int) -> pa.Schema:
     return pa.schema([("sequence", pa.list_(pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
+_INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+
+
 class _Writer:
-    """Packs ids into sequences and writes batches as they fill."""
+    """Packs ids into sequences and writes batches as they fill, and the index beside them."""
 
-    def __init__(self, sink, seq_len: int):
-        self.seq_len, self.parts, self.held, self.total = seq_len, [], 0, 0
-        self.writer = pa.ipc.new_file(sink, _schema(seq_len))
+    def __init__(self, fs, path: str, seq_len: int):
+        self.seq_len, self.parts, self.held, self.total, self.docs = seq_len, [], 0, 0, 0
+        self.sinks = [fs.open_output_stream(path), fs.open_output_stream(path + "i")]
+        self.data, self.index = pa.ipc.new_file(self.sinks[0], _schema(seq_len)), pa.ipc.new_file(self.sinks[1], _INDEX)
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        ends = self.total + np.cumsum(counts)
+        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(ends - counts), pa.array(counts)], schema=_INDEX))
         self.parts.append(ids)
         self.held += len(ids)
         self.total += len(ids)
+        self.docs += len(counts)
         full = self.seq_len * ROWS_PER_BATCH
         if self.held >= full:
             flat = np.concatenate(self.parts)
@@ -111,53 +135,55 @@ class _Writer:
         padded[: len(ids)] = ids
         mask = np.arange(size) < len(ids)
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (padded, mask)]
-        self.writer.write_batch(pa.record_batch(cols, schema=_schema(self.seq_len)))
+        self.data.write_batch(pa.record_batch(cols, schema=_schema(self.seq_len)))
 
     def close(self) -> None:
         if self.held:
             self._batch(np.concatenate(self.parts), -(-self.held // self.seq_len) * self.seq_len)
-        self.writer.close()
+        for x in (self.data, self.index, *self.sinks):
+            x.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, seq_len: int = SEQ_LEN) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, seq_len: int = SEQ_LEN, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the files under ``out_dir``; returns the manifest (part, path, n_docs, n_tokens), one row for each file."""
+    if seq_len % 8:
+        raise ValueError("masks are whole bytes: seq_len must be a multiple of 8")
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, writer, ids, counts = TaskContext.get().partitionId(), None, [], []
+        part, writer = TaskContext.get().partitionId(), None
         for b in batches:
             if b.num_rows and writer is None:
                 fs, base = file_system(out_dir)
                 fs.create_dir(base, recursive=True)
                 tmp = f"{base}/_{uuid.uuid4().hex}"
-                sink = fs.open_output_stream(tmp)
-                writer = _Writer(sink, seq_len)
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc, raw in zip(b.column(0).to_pylist(), encode_texts(tokenizer, texts), strict=True):
-                tokens = np.append(np.frombuffer(raw, dtype="<u2"), np.uint16(END_ID))
-                writer.add(tokens)
-                ids.append(doc)
-                counts.append(len(tokens))
+                writer = _Writer(fs, tmp, seq_len)
+            if b.num_rows:
+                writer.add(b.column(0), *encode_texts(tokenizer, [t or "" for t in b.column(1).to_pylist()]))
         if writer is None:
             return
         writer.close()
-        sink.close()
-        n = np.array(counts, dtype=np.int64)
-        index = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": np.cumsum(n) - n, "n_tokens": n})
-        with fs.open_output_stream(tmp + "i") as out, pa.ipc.new_file(out, index.schema) as w:
-            w.write_table(index, max_chunksize=65_536)
         name = f"part-{part:06d}"
         fs.move(tmp + "i", f"{base}/{name}.index.arrow")
         fs.move(tmp, f"{base}/{name}.arrow")
-        row = {"part": [part], "path": [f"{out_dir}/{name}"], "n_docs": [len(ids)], "n_tokens": [int(n.sum())]}
+        row = {"part": [part], "path": [f"{out_dir}/{name}"], "n_docs": [writer.docs], "n_tokens": [writer.total]}
         yield pa.RecordBatch.from_pydict(row)
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    # the row number only parts equal rows, so the order of ids doesn't depend on it
+    ranged = rows.repartitionByRange(parts, *order, "row").sortWithinPartitions(*order, "text").select("doc_id", "text")
     return durable(ranged.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
+def unpacked(mask: np.ndarray) -> np.ndarray:
+    """Booleans of a packed mask."""
+    return np.unpackbits(mask, axis=-1, bitorder="little").astype(bool)
+
+
 class TokenFile:
     """Zero-copy random access to the sequences and masks of one file."""
 
@@ -170,10 +196,10 @@ class TokenFile:
         self.n_batches = self._data.num_record_batches
 
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, seq_len) ids as a view of the mapped file, and the mask."""
-        b = self._data.get_batch(k)
-        ids = b.column(0).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.seq_len)
-        return ids, b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.seq_len)
+        """Views of the mapped file: (rows, seq_len) ids, and (rows, seq_len / 8) bytes whose bits, lowest first, are the mask."""
+        ids, mask = (self._data.get_batch(k).column(i).flatten() for i in (0, 1))
+        bits = np.frombuffer(mask.buffers()[1], np.uint8, len(mask) // 8, mask.offset // 8)
+        return ids.to_numpy(zero_copy_only=True).reshape(-1, self.seq_len), bits.reshape(-1, self.seq_len // 8)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.batch(i // ROWS_PER_BATCH)
@@ -189,7 +215,7 @@ class TokenFile:
                 while have < n:
                     ids, mask = self.batch(k)
                     k += 1
-                    parts.append(ids[mask])
+                    parts.append(ids[unpacked(mask)])
                     have += len(parts[-1])
                 flat = np.concatenate(parts) if len(parts) > 1 else held
                 yield doc, start, flat[:n]
@@ -204,9 +230,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
-                rows = [(d, base + s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, s, ids in TokenFile(path).documents()]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = ((d, base + s, len(ids), zlib.crc32(ids.astype("<u4"))) for d, s, ids in TokenFile(path).documents())
+                for rows in batched(found, READ_ROWS):
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # one row for each file: the window is over the manifest, and files are then dealt out again
     spread = based.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")

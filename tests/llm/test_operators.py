@@ -301,7 +301,6 @@ def test_token_files_round_trip(spark, tmp_path):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     docs = brute.documents(spark).unionByName(brute.documents(spark, [(20, "don't stop <|endoftext|> I'll  go\u00a0 \u2009now\r\n\r\n", "en", "x"), (21, "z" * 300_000, "en", "x")]))
     manifest = tokenfile.write_tokens(docs, path, f"file://{tmp_path}/t", seq_len=64)
     got = sorted((tuple(r) for r in tokenfile.read_tokens(manifest).collect()), key=lambda r: r[1])
@@ -313,7 +312,9 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(ids)
     one = tokenfile.TokenFile(manifest.orderBy("part").first()["path"])
     ids, mask = one.sequence(0)
-    assert len(ids) == 64 and not ids.flags.owndata and mask.shape == (64,)
+    assert len(ids) == 64 and tokenfile.unpacked(mask).shape == (64,)
+    root = lambda x: root(x.base) if isinstance(x.base, np.ndarray) else x
+    assert not root(ids).flags.owndata and not root(mask).flags.owndata  # both lie in the mapped file
     assert tokenfile.read_tokens(tokenfile.write_tokens(docs.limit(0), path, f"file://{tmp_path}/e")).count() == 0
 
 
@@ -323,12 +324,35 @@ def test_token_pieces_are_those_of_the_library(spark):
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rng = random.Random(1)
     alphabet = "ab Z'st reve  \n\t9 0.,-_é\u00b5ſÀ¿×\u2010\u2014\u3000ł\u0301"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)]
-    got = tokenfile.encode_texts(path, texts)
-    assert [np.frombuffer(g, dtype="<u2").tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    texts += ["z" * 270_000, " word's \n" * 70_000, "\n " * 300_000 + "end", "a 'll 're'd 'S" * 30_000]  # over a chunk
+    assert token_lists(path, texts) == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def token_lists(path, texts):
+    ids, counts = tokenfile.encode_texts(path, texts)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert all(p[-1] == tokenfile.END_ID for p in parts)
+    return [p[:-1].tolist() for p in parts]
+
+
+def test_pieces_are_forgotten_and_met_again(monkeypatch):
+    import public_tokenizers
+
+    from commitlake.llm import pieces
+
+    monkeypatch.setattr(pieces, "MAX_PIECES", 50)
+    monkeypatch.setattr(tokenfile, "CHUNK", 20)
+    tokenfile._tokenizer.cache_clear()
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{i * j % 61}" for j in range(9)) for i in range(60)]
+    first = token_lists(path, texts)
+    tokenfile._tokenizer.cache_clear()
+    monkeypatch.undo()
+    assert token_lists(path, texts) == first
+    tokenfile._tokenizer.cache_clear()
 
 
 # mixing
@@ -429,5 +453,4 @@ def test_tokens_of_texts_with_an_added_token():
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     tok = Tokenizer.from_file(path)
     texts = ["a<|endoftext|>b", "<|endoftext|>", "plain text", "東京 <|endoftext|> x", *(t.content for t in tok.get_added_tokens_decoder().values())]
-    got = [np.frombuffer(raw, dtype="<u2").tolist() for raw in tokenfile.encode_texts(path, texts)]
-    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_lists(path, texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
