@@ -249,24 +249,62 @@ def exact_neighbours(rows, queries, k=5):
     return out
 
 
-def test_ann_recall_on_whole_table(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_ann_recall_on_whole_table(spark, sf):
     bad = lambda v: v is None or any(x is None or not math.isfinite(x) for x in v) or not any(v)
     rows = [(r["vec_id"], r["embedding"]) for r in common.table(spark, sf, "embeddings").collect() if not bad(r["embedding"])]
-    want = exact_neighbours(rows, [i for i, _ in rows if i % 50 == 0])
+    queries = [i for i, _ in rows if i % 50 == 0]
+    every = exact_neighbours(rows, queries, len(rows))
     got = {}
     for r in ann.op6_ann(spark, sf).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == set(want)
+    assert set(got) == set(queries)
     hits = 0
     for q, found in got.items():
         found.sort()
         assert [f[0] for f in found] == list(range(1, len(found) + 1)) and len(found) == 5
         assert [(-f[2], f[1]) for f in found] == sorted((-f[2], f[1]) for f in found)
-        hits += len({f[1] for f in found} & {w[0] for w in want[q]})
-        truth = dict(exact_neighbours(rows, [q], len(rows))[q])
+        hits += len({f[1] for f in found} & {w[0] for w in every[q][:5]})
+        truth = dict(every[q])
         assert all(abs(truth[f[1]] - f[2]) < 1e-9 for f in found)
-    assert hits >= 0.9 * 5 * len(want)
+    assert hits >= 0.9 * 5 * len(queries)
+
+
+def clustered(n=6000, centres=120, dim=48):
+    rng = np.random.default_rng(9)
+    return rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + 0.4 * rng.normal(size=(n, dim))
+
+
+def test_ann_compares_little_where_vectors_cluster(spark):
+    x = clustered()
+    plan, share = ann.fit(x[:4096], len(x))
+    assert plan.probes and share < 0.2
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(table, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact_neighbours(list(enumerate(x)), list(range(0, len(x), 50)))
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_probes_come_in_order_of_success():
+    x = ann.unit(clustered(5))
+    plan = ann.Plan(6, 1, 0, 0.8)
+    low, high = plan._edges(48, 0)
+    shift = ann._projection(48, 6, 0)[1]
+    for row, p in zip(plan.sequence(0, x, 200), plan.project(0, x)):
+        every = {}
+        for cells in np.ndindex(*(high - low + 1)):
+            chance, code = 0.0, 0
+            for h, c in enumerate(cells):
+                left = -99 if c == 0 else (c + low[h]) * ann.WIDTH - shift[h]
+                right = 99 if c == high[h] - low[h] else (c + low[h] + 1) * ann.WIDTH - shift[h]
+                phi = lambda z: 0.5 * (1 + math.erf((z - 0.8 * p[h]) / 0.6 / 2**0.5))
+                chance += math.log(max(1e-30, phi(right) - phi(left)))
+                code = code * ann.BASE + c
+            every[code] = chance
+        best = sorted(every.values(), reverse=True)[:200]
+        assert np.allclose([every[c] for c in row.tolist()], best, atol=1e-3)
 
 
 def test_ann_recall_beside_copies(spark):
@@ -289,6 +327,9 @@ def test_ann_of_odd_rows(spark):
     assert [r[2] for r in sorted(got) if r[0] == 0] == [1, 2, 50]
     assert [r[2] for r in sorted(got) if r[0] == 50] == [0, 1, 2]
     assert ann.neighbours(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    again = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (0, [1.0, 0.0]), (4, [0.0, 1.0]), (7, [1.0, 0.0, 0.0]), (50, [1.0, 1.0, 0.0])]
+    twice = ann.neighbours(spark.createDataFrame(again, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"]) for r in twice) == Counter({(0, 1, 0): 3, (0, 2, 0): 3, (0, 3, 4): 3, (50, 1, 7): 1})  # each row of an id asks, and is found
     assert ann.neighbours(table.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
