@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local temp folder only where the session names none (tests)."""
+    """The folder that all executors share; a local temp folder only in a local session that names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="commitlake-"))
     return _LOCAL[0]
@@ -75,9 +77,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, by rows and by bytes: texts may be very long.  The same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -91,10 +93,10 @@ def reserve(df: DataFrame, *names: str) -> None:
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = 100_000, salts: int = 16) -> DataFrame:
     """Join a large side to an aggregated one whose keys may be hot.
 
-    The small side is counted: up to ``max_rows`` rows it is broadcast; beyond that both sides are dealt by key and a
+    The small side is written once and counted: up to ``max_rows`` rows it is broadcast; beyond that both sides are dealt by key and a
     salt, the small side once per salt, so that a hot key is split over ``salts`` tasks.  Null keys match null keys.
     """
-    small = small.select(*[F.col(k).alias(f"__s_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    small = durable(small.select(*[F.col(k).alias(f"__s_{k}") for k in keys], *[c for c in small.columns if c not in keys]), "small")
     on = lambda b, s: [b[k].eqNullSafe(s[f"__s_{k}"]) for k in keys]
     if small.limit(max_rows + 1).count() <= max_rows:
         out = big.join(F.broadcast(small), on(big, small), how)
@@ -131,11 +133,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def split_running(df: DataFrame, group: str, order: list, value: str, prefix: str, rows: int = 50_000, max_buckets: int = 4096) -> DataFrame:
+def split_running(df: DataFrame, group: str, order: list, value: str, prefix: str, rows: int = 2_000, max_buckets: int = 65_536) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group`` in the order of a hash column ``order[0]`` and the rest.
 
-    The first 16 bits of the (non-negative 63-bit) hash deal each group into as many buckets as its size asks for,
-    so that a hot group is sorted by many tasks; bucket totals, one row per bucket, carry the sum across buckets.
+    The upper 32 bits of the (non-negative 63-bit) hash deal each group into a bucket for every ``rows`` of its rows,
+    so that any group is sorted by many tasks; bucket totals, one row per bucket, carry the sum across buckets.
     Adds ``prefix`` (running sum before the row) and keeps every input column.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))

@@ -1,14 +1,15 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key; within its source the keys are range-sorted, distributed prefix sums of word
+Every document gets a hash-random key, of its id and text; within its source the keys are range-sorted, distributed prefix sums of word
 counts run over them, and each source is cut at its exact budget, after as many whole epochs as the budget holds.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ... and share all words; no target exceeds
 ``max_repeat`` times its source's size, and the excess is shared again by weight until none does.
 
 Defined results: null texts and texts without words have size 0 and take 0; a null source is a source of its own;
-repeated rows are separate rows; ties of the key are broken by doc_id and a text digest; an empty table gives an
-empty result.  ``mix_documents`` repeats a document once per epoch, drops what the mix doesn't take, and cuts the one
+repeated rows are separate rows, and rows of one id are keyed by their texts, so that no id is one task's work; ties of
+the key are rows equal in both; a very long text is counted whole, and cut like any other if the budget ends in it; an
+empty table gives an empty result; extra columns of any name pass through, but for names that start with ``__mix_``.  ``mix_documents`` repeats a document once per epoch, drops what the mix doesn't take, and cuts the one
 document of a source in which the budget ends after a whole word.
 """
 
@@ -28,6 +29,10 @@ def word_count(text: str):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_digest(text: str = "text"):
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
     """(source, source_size) -> also target double.  Sources are ranked by window over one row per source.
 
@@ -49,10 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat:
 
 
 def take(rows: DataFrame, seed: str = "mix", max_repeat: int = 3) -> DataFrame:
-    """Narrow stable rows (doc_id, source, size, text digest ``__d``) plus source_size, target, epochs, rest, taken."""
+    """Narrow stable rows (doc_id, source, size, md5 of the text ``__d``) plus source_size, target, epochs, rest, taken."""
     goals = durable(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat=max_repeat), "mix-targets")
     # 15 hex digits of md5 fit a non-negative long: the same order in any SQL engine
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__d").cast("binary"))
     keyed = rows.withColumn("__h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") * 8)
     summed = split_running(keyed, "source", ["__h", "doc_id", "__d"], "size", "__before")
     out = join_small(summed, goals, ["source"])
@@ -65,15 +70,15 @@ def take(rows: DataFrame, seed: str = "mix", max_repeat: int = 3) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: str = "mix", max_repeat: int = 3) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a row for each time that a document is taken."""
-    reserve(docs, "__uid", "size", "taken", "epochs", "rest", "target", "source_size", "__d")
-    kept = durable(docs.withColumn("__uid", F.monotonically_increasing_id()).withColumn("__size", word_count("text")), "mix-rows")
-    plan = take(kept.select("__uid", "doc_id", "source", F.col("__size").alias("size"), F.col("__uid").alias("__d")), seed, max_repeat)
-    plan = durable(plan.where("epochs > 0 or rest > 0").select("__uid", "size", "epochs", "rest"), "mix-plan")
+    reserve(docs, "__mix_row", "__mix_size", "__mix_epochs", "__mix_rest", "__mix_copy")
+    kept = durable(docs.withColumn("__mix_row", F.monotonically_increasing_id()).withColumn("__mix_size", word_count("text")), "mix-rows")
+    plan = take(kept.select("__mix_row", "doc_id", "source", F.col("__mix_size").alias("size"), text_digest().alias("__d")), seed, max_repeat)
+    plan = durable(plan.where("epochs > 0 or rest > 0").select("__mix_row", F.col("epochs").alias("__mix_epochs"), F.col("rest").alias("__mix_rest")), "mix-plan")
     # a document without words is taken once with each whole epoch: size 0 costs nothing
-    joined = kept.drop("__size").join(plan.hint("shuffle_hash"), "__uid")
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("epochs") + F.when(F.col("rest") > 0, 1).otherwise(0)).cast("int"))))
-    partial = (F.col("__copy") > F.col("epochs")) & (F.col("rest") < F.col("size"))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD}[{SPACE}]*)"), F.lit(1)), 1, F.greatest(F.lit(1), F.col("rest").cast("int"))), "")
+    joined = kept.join(plan.hint("shuffle_hash"), "__mix_row")
+    copies = joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), (F.col("__mix_epochs") + F.when(F.col("__mix_rest") > 0, 1).otherwise(0)).cast("int"))))
+    partial = (F.col("__mix_copy") > F.col("__mix_epochs")) & (F.col("__mix_rest") < F.col("__mix_size"))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD}[{SPACE}]*)"), F.lit(1)), 1, F.greatest(F.lit(1), F.col("__mix_rest").cast("int"))), "")
     cut = copies.withColumn("text", F.when(partial, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(partial, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -82,13 +87,13 @@ def mix_documents(docs: DataFrame, seed: str = "mix", max_repeat: int = 3) -> Da
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = durable(docs.select("doc_id", "source", word_count("text").alias("size"), F.crc32("text").alias("__d")), "mix-narrow")
+    rows = durable(docs.select("doc_id", "source", word_count("text").alias("size"), text_digest().alias("__d")), "mix-narrow")
     return take(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""
 with recursive d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+  select doc_id, source, md5(coalesce(text, '')) as __d, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 n as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as w from s),
@@ -106,7 +111,7 @@ r(step, source, source_size, w, capped, target) as (
 g as (select source, source_size, target from r where step = 40),
 k as (select d.*, g.source_size, g.target,
     coalesce(sum(size) over (partition by d.source
-      order by substr(md5('mix|' || coalesce(doc_id::varchar, 'null')), 1, 15), doc_id
+      order by substr(md5('mix|' || coalesce(doc_id::varchar, 'null') || '|' || __d), 1, 15), doc_id, __d
       rows between unbounded preceding and 1 preceding), 0)::bigint as prior
   from d join g on d.source is not distinct from g.source)
 select doc_id, size, source_size, target,
