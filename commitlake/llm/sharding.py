@@ -1,13 +1,14 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows get a durable row number; its hash deals them into logical partitions of bounded size.  For each partition the
+Rows get a durable row number; its hash deals them into ``PARTITIONS`` logical partitions, more where each would
+otherwise exceed ``ROWS_PER_PARTITION`` rows.  For each partition the
 driver draws how many of its rows go to each shard, from the multivariate hypergeometric law of a uniform permutation
 (one small row of counts per partition, never a document).  Each partition is permuted locally, its rows are sent to
 shards by those exact counts, and each shard is permuted again to give slots.  Shard sizes differ by one row at most.
 
-Defined results: null texts count as empty; null or repeated ids and fully repeated rows are separate rows, each with
-a slot of its own; an empty table gives an empty result; extra columns pass through, and a column named like an
-operator column is refused.  Copies of a text are not kept together: a uniform shuffle has no groups.
+Defined results: null texts count as empty; a very long text is one row like any other (only row numbers are permuted
+and texts move once); null or repeated ids and fully repeated rows are separate rows, each with a slot of its own; an
+empty table gives an empty result; extra columns pass through, but for ``shard`` and ``slot``, which are refused.  Copies of a text are not kept together: a uniform shuffle has no groups.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import Window as W
 
 from .common import durable, join_small, reserve, table
 
-ROWS_PER_PARTITION = 50_000
-MAX_PARTITIONS = 16_384
+PARTITIONS, ROWS_PER_PARTITION, MAX_PARTITIONS = 256, 50_000, 16_384
+BLOCKS = 16  # parts of a shard that are permuted apart, at least
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -58,11 +59,11 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
     return out
 
 
-def deal(rows: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
+def deal(rows: DataFrame, n_shards: int, seed: int = 17, partitions: int = PARTITIONS) -> DataFrame:
     """Add ``shard`` and ``slot`` to the rows of a table that has a unique stable ``__uid``; narrow tables only."""
     spark = rows.sparkSession
     total = rows.count()
-    parts = max(1, min(MAX_PARTITIONS, max(256 if total > 2000 else 1, -(-total // ROWS_PER_PARTITION))))
+    parts = min(MAX_PARTITIONS, max(partitions, -(-total // ROWS_PER_PARTITION)))
     keyed = rows.withColumn("__p", F.pmod(F.xxhash64("__uid", F.lit(seed)), F.lit(parts)))
     found = {r["__p"]: r["n"] for r in keyed.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # at most MAX_PARTITIONS rows
     order = sorted(found)
@@ -72,7 +73,7 @@ def deal(rows: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     sent = keyed.withColumn("__r", local).join(F.broadcast(ends), "__p")  # MAX_PARTITIONS x n_shards numbers at most
     sent = sent.withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__r"))).cast("int"))
     # the second permutation, by blocks of a random key, so that a shard is not one task's work
-    blocks = max(1, -(-total // (n_shards * ROWS_PER_PARTITION)), 16 if total > 20_000 else 1)
+    blocks = max(BLOCKS, -(-total // (n_shards * ROWS_PER_PARTITION)))
     key = F.xxhash64("__uid", F.lit(seed + 2))
     sent = sent.withColumn("__k", key).withColumn("__b", F.least(F.lit(blocks - 1), F.floor((F.shiftrightunsigned("__k", 32).cast("double") / float(1 << 32)) * blocks)).cast("long"))
     per_block = sent.groupBy("shard", "__b").agg(F.count("*").alias("__n"))
@@ -82,11 +83,11 @@ def deal(rows: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     return out.withColumn("slot", (F.col("__base") + F.col("__s")).cast("long")).drop("__p", "__r", "__ends", "__k", "__b", "__s", "__base")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 17) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 17, partitions: int = PARTITIONS) -> DataFrame:
     """All columns of ``docs`` plus ``shard`` and ``slot``: texts cross the network once, after the draw."""
     reserve(docs, "shard", "slot", "__uid")
     kept = durable(docs.withColumn("__uid", F.monotonically_increasing_id()), "shard-rows")
-    placed = durable(deal(kept.select("__uid"), n_shards, seed), "shard-slots")
+    placed = durable(deal(kept.select("__uid"), n_shards, seed, partitions), "shard-slots")
     return kept.join(placed.hint("shuffle_hash"), "__uid").drop("__uid")
 
 
