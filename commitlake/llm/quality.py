@@ -1,22 +1,25 @@
 """Quality by hierarchical empirical Bayes.
 
 A document classifier (logistic regression in numpy on the shape of a text and on how its words lean) gives each whole
-text a probability.  Soft counts of all documents are then grouped by host and by path within the host.  A Beta prior
-over hosts is fitted to the spread of host means by the method of moments; each host's posterior is shrunk toward the
-global mean, each path's toward its host, so sparse sites keep close to what is known above them.  A document's score
-adds the log-odds of its site (its own count left out) to its own evidence.
+text a probability.  Soft counts of all documents are then grouped by host and by path within the host.  Two Beta priors
+are fitted by the method of moments, one to the spread of host means around the global mean, one to that of path means
+around those of their hosts.  A host's posterior is shrunk toward the global mean, a path's toward its host without the
+path's own documents, so sparse sites keep close to what is known above them and nothing counts twice.  A document's
+score adds the log-odds of its path, its own count left out, to its own evidence.
 
 The classifier is fitted on at most ``MAX_LABELLED`` labelled documents by hash of their id, whose fold isn't 0; the
 site statistics cover every document.
 
-Defined results: null and empty texts have no words and are scored on that shape; a null host or path is a site of
-its own; repeated rows are rows of their own; without labels of both kinds the document evidence is neutral (0.5).
+Defined results: null and empty texts have no words and are scored on that shape; a very long text is scored whole, in
+one pass over its bytes; a null host or path is a site of its own; repeated rows are rows of their own; without labels
+of both kinds the document evidence is neutral (0.5); an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -110,23 +113,53 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+@dataclass(frozen=True)
+class Priors:
+    mean: float  # of all documents
+    hosts: float  # how many documents the global mean counts for at a host
+    paths: float  # how many documents a host counts for at one of its paths
+
+
+def strength(spread: float, variance: float) -> float:
+    """Weight of a Beta prior whose means spread by ``spread`` where single outcomes vary by ``variance``."""
+    return float(min(1000.0, max(1.0, variance / max(spread, 1e-6) - 1)))
+
+
+def fit_priors(paths: DataFrame) -> Priors | None:
+    """From (host, path, n2, s2), one row per path, by the moments of both levels; None without documents.
+
+    Expected squares around a mean are those of chance, (groups - 1) times the variance, plus the spread times what the
+    sizes leave of it; solving for the spread gives the unweighted part that chance doesn't explain.
+    """
+    n2, s2 = F.col("n2"), F.col("s2")
+    hosts = paths.groupBy("host").agg(F.sum(n2).alias("n"), F.sum(s2).alias("s"), F.count("*").alias("j"), F.sum(n2 * n2).alias("nn"), F.sum(s2 * s2 / n2).alias("ss"))
+    m = F.col("s") / F.col("n")
+    v = m * (1 - m)
+    within = F.col("ss") - F.col("s") * m  # sum of n2 (m2 - m)^2
+    got = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("h"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("s") * m).alias("ss"), F.sum(within).alias("sq"), F.sum((F.col("j") - 1) * v).alias("chance"), F.sum(F.col("n") - F.col("nn") / F.col("n")).alias("left"), F.sum(F.col("n") * v).alias("var")).first()
+    if not got["n"]:
+        return None
+    n, mean = float(got["n"]), min(1 - FLOOR, max(FLOOR, got["s"] / got["n"]))
+    v = mean * (1 - mean)
+    between = (got["ss"] - n * mean**2 - (got["h"] - 1) * v) / max(n - got["nn"] / n, 1e-9)
+    inner = (got["sq"] - got["chance"]) / max(got["left"], 1e-9)
+    return Priors(mean, strength(between, v), strength(inner, got["var"] / n))
+
+
 def site_scores(scored: DataFrame, weight: float = 0.5) -> DataFrame:
     """(doc_id, host, path, p) with host_posterior, path_posterior and score; every statistic is a grouped aggregate."""
     paths = durable(scored.groupBy("host", "path").agg(F.count("*").alias("n2"), F.sum("p").alias("s2")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n2").alias("n1"), F.sum("s2").alias("s1"))
-    top = hosts.agg(F.sum("s1"), F.sum("n1"), F.count("*"), F.sum(F.col("n1") * (F.col("s1") / F.col("n1")) ** 2), F.sum(F.col("n1") ** 2)).first()
-    if not top[1]:
+    prior = fit_priors(paths)
+    if prior is None:
         return scored.select("*", *[F.lit(0.5).alias(c) for c in ("host_posterior", "path_posterior", "score")])
-    mean = min(1 - FLOOR, max(FLOOR, top[0] / top[1]))
-    between = max(0.0, top[3] / top[1] - mean**2)  # weighted spread of the host means
-    noise = mean * (1 - mean) * top[2] / top[1]
-    spread = max(between - noise, 1e-6)
-    kappa = float(min(1000.0, max(5.0, mean * (1 - mean) / spread - 1)))
+    hosts = paths.groupBy("host").agg(F.sum("n2").alias("n1"), F.sum("s2").alias("s1"))
     both = join_small(join_small(scored, hosts, ["host"]), paths, ["host", "path"])
-    host = (F.lit(kappa * mean) + F.col("s1") - F.col("p")) / (F.lit(kappa) + F.col("n1") - 1)
-    path = (F.lit(kappa) * F.col("host_posterior") + F.col("s2") - F.col("p")) / (F.lit(kappa) + F.col("n2") - 1)
+    top = F.lit(prior.hosts * prior.mean)
+    host = (top + F.col("s1") - F.col("p")) / (F.lit(prior.hosts) + F.col("n1") - 1)
+    others = (top + F.col("s1") - F.col("s2")) / (F.lit(prior.hosts) + F.col("n1") - F.col("n2"))
+    path = (F.lit(prior.paths) * others + F.col("s2") - F.col("p")) / (F.lit(prior.paths) + F.col("n2") - 1)
     out = both.withColumn("host_posterior", host).withColumn("path_posterior", path)
-    z = logit(F.col("p")) + F.lit(weight) * (logit(F.col("path_posterior")) - logit(F.lit(mean)))
+    z = logit(F.col("p")) + F.lit(weight) * (logit(F.col("path_posterior")) - logit(F.lit(prior.mean)))
     return out.withColumn("score", 1 / (1 + F.exp(-z))).drop("n1", "s1", "n2", "s2")
 
 
