@@ -9,12 +9,16 @@ intersects with the offset-adjusted lists of the second and third rarest; the ot
 
 The benchmark is broadcast: its number of windows is checked against ``MAX_WINDOWS``, beyond which it is refused.
 
-Defined results: a null or blank text has no words, no hits and the digest of the empty string; items with a null id
-or without words match nothing; repeated ids of documents are separate rows, and equal item ids are one item.
+Defined results: a null or blank text has no words, no hits and the digest of the empty string; a very long text is
+scanned whole in one task and its postings are rows like any others; items with a null id or without words match
+nothing; repeated ids of documents are separate rows, and equal item ids are one item; empty documents give an empty
+result and an empty benchmark no hits; extra columns are not read, and pass through ``drop_contaminated`` but for
+``__uid``, which is refused.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.taskcontext import TaskContext
 from .common import durable, reserve, small_batches, table
 
 WINDOW = 8
-MAX_WINDOWS = 2_000_000
+MAX_WINDOWS = 500_000  # of them the driver holds 0.2 GB as words and 80 MB as numbers
 #: Bytes to lower-cased words parted by spaces: ASCII letters and digits and all bytes from 0x80 on are word bytes.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -109,12 +113,15 @@ def ranked_windows(spark: SparkSession, index: DataFrame, windows: list[tuple[st
     number = {t: i for i, t in enumerate(sorted({t for _, w in windows for t in w}))}
     lists = index.where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
     length = {r["term"]: r["n"] for r in lists.toLocalIterator()}  # a number for each benchmark term
-    rows = []
+    rows = array("i")
     for k, w in enumerate(dict.fromkeys(w for _, w in windows)):
         parts = sorted((length.get(number[t], 0), number[t], o) for o, t in enumerate(w))
         if parts[0][0]:  # a term that no document has: the window occurs nowhere
-            rows += [(k, len(w), r, t, o) for r, (_, t, o) in enumerate(parts)]
-    return spark.createDataFrame(rows, "win int, size int, rank int, term int, off int")
+            for r, (_, t, o) in enumerate(parts):
+                rows.extend((k, len(w), r, t, o))
+    cols = np.frombuffer(rows, np.int32).reshape(-1, 5) if rows else np.zeros((0, 5), np.int32)
+    names = ["win", "size", "rank", "term", "off"]
+    return spark.createDataFrame(pa.table({n: np.ascontiguousarray(cols[:, i]) for i, n in enumerate(names)}))
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
@@ -174,11 +181,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.size(listed) >= 2).alias("contaminated"), "uid")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs; shorter items than ``min_words`` are no evidence."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs; windows and words are those of ``contamination``."""
     reserve(docs, "__uid")
     spark = docs.sparkSession
-    windows = [(i, w) for i, w in benchmark_windows(benchmark) if len(w) >= min_words]
+    windows = benchmark_windows(benchmark)
     rows = durable(docs.withColumn("__uid", F.monotonically_increasing_id()), "decontam-rows")  # ids are no keys: they repeat
     index = build_index(rows, windows, uid="__uid")
     bad = phrase_matches(index, ranked_windows(spark, index, windows)).select(F.col("uid").alias("__uid")).distinct()

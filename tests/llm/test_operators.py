@@ -50,6 +50,8 @@ def test_sharding_of_odd_rows(spark):
     assert out.columns == [*docs.columns, "shard", "slot"]
     assert ORDER(map(tuple, out.select(docs.columns).collect())) == ORDER(map(tuple, docs.collect()))
     assert sharding.shard_documents(docs.limit(0), 4).count() == 0
+    placed = sharding.deal(common.durable(spark.range(500).withColumnRenamed("id", "__uid"), "t"), 6, partitions=9).collect()
+    assert sorted((r["shard"], r["slot"]) for r in placed) == sorted((s, i) for s in range(6) for i in range(84 if s < 2 else 83))
     with pytest.raises(ValueError):
         sharding.shard_documents(docs.withColumn("Shard", F.lit(1)), 4)
 
@@ -172,6 +174,60 @@ def test_sparse_sites_shrink_toward_what_is_above(spark):
     assert by["low"] < 0.2 and by["big"] > 0.8 and abs(by["tiny"] - 0.5) < 0.05
 
 
+def brute_sites(rows):
+    """Priors and posteriors of (doc_id, host, path, p), document by document."""
+    mean = sum(r[3] for r in rows) / len(rows)
+    hosts, paths = {}, {}
+    for _, h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    avg = lambda x: sum(x) / len(x)
+    v = mean * (1 - mean)
+    between = (sum(len(x) * (avg(x) - mean) ** 2 for x in hosts.values()) - (len(hosts) - 1) * v) / (len(rows) - sum(len(x) ** 2 for x in hosts.values()) / len(rows))
+    vh = {h: avg(x) * (1 - avg(x)) for h, x in hosts.items()}
+    chance = sum((sum(k[0] == h for k in paths) - 1) * vh[h] for h in hosts)
+    left = sum(len(x) - sum(len(y) ** 2 for k, y in paths.items() if k[0] == h) / len(x) for h, x in hosts.items())
+    inner = (sum(len(x) * (avg(x) - avg(hosts[h])) ** 2 for (h, _), x in paths.items()) - chance) / left
+    weight = lambda s, var: min(1000.0, max(1.0, var / max(s, 1e-6) - 1))
+    k1, k2 = weight(between, v), weight(inner, sum(len(x) * vh[h] for h, x in hosts.items()) / len(rows))
+    logit, out = lambda z: math.log(z / (1 - z)), {}
+    for d, h, q, p in rows:
+        rest, same = list(hosts[h]), list(paths[h, q])
+        for x in same:
+            rest.remove(x)
+        same.remove(p)
+        host = (k1 * mean + sum(hosts[h]) - p) / (k1 + len(hosts[h]) - 1)
+        above = (k1 * mean + sum(rest)) / (k1 + len(rest))
+        path = (k2 * above + sum(same)) / (k2 + len(same))
+        out[d] = (host, path, 1 / (1 + math.exp(-(logit(p) + 0.5 * (logit(path) - logit(mean))))))
+    return out
+
+
+def test_site_posteriors_against_brute_force(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(700):
+        h = rng.choice(["a", "b", "c", "d", None])
+        q = rng.choice(["x", "y", None])
+        level = {"a": 0.8, "b": 0.3}.get(h, 0.5) + {"x": 0.15, "y": -0.2}.get(q, 0)
+        rows.append((i, h, q, min(0.99, max(0.01, rng.gauss(level, 0.02)))))
+    rows.append((700, "rare", "only", 0.9))
+    want = brute_sites(rows)
+    got = quality.site_scores(spark.createDataFrame(rows, "doc_id long, host string, path string, p double")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r["host_posterior"], r["path_posterior"], r["score"]), want[r["doc_id"]], atol=1e-9)
+
+
+def test_quality_of_pages_by_url(spark):
+    """A real host and path: those of the page's address."""
+    pages = common.table(spark, SF, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "url")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    host, path = F.lower(F.split_part("url", F.lit("/"), F.lit(3))), F.split_part("url", F.lit("/"), F.lit(4))
+    got = quality.quality_scores(pages, labels, host, path).collect()
+    assert len(got) == pages.count() and all(0 < r["score"] < 1 for r in got)
+
+
 # chat
 
 
@@ -408,7 +464,7 @@ def test_targets_share_by_weight_and_cap(spark):
 
 def test_mixing_of_documents(spark):
     docs = brute.documents(spark, extra=False).withColumn("n_chars", F.length("text").cast("long"))
-    plan = mixing.take(docs.select("doc_id", "source", mixing.word_count("text").alias("size"), F.monotonically_increasing_id().alias("__d"))).collect()
+    plan = mixing.take(docs.select("doc_id", "source", mixing.word_count("text").alias("size"), mixing.text_digest().alias("__d"))).collect()
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
     words = Counter()
@@ -422,6 +478,21 @@ def test_mixing_of_documents(spark):
     assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
     assert all(abs(taken[s] - target[s]) < 1 for s in target)
     assert mixing.mix_documents(docs.limit(0)).count() == 0
+    clash = ["size", "target", "rest", "taken", "epochs", "source_size", "__uid"]
+    wide = mixing.mix_documents(docs.select("*", *[F.lit(7).alias(c) for c in clash]))
+    assert wide.columns == [*docs.columns, *clash] and Counter(map(tuple, wide.select(docs.columns).collect())) == Counter(map(tuple, mixed.collect()))
+
+
+def test_running_sums_of_small_groups_are_split(spark):
+    rng = random.Random(2)
+    rows = [(i, "ab"[i % 2], rng.getrandbits(60) * 8, rng.randint(0, 9)) for i in range(400)] + [(400, None, 5, 1)]
+    df = spark.createDataFrame(rows, "i long, g string, h long, v long")
+    got = {r["i"]: r["before"] for r in common.split_running(df, "g", ["h", "i"], "v", "before", rows=10).collect()}
+    for g in ("a", "b", None):
+        run = 0
+        for i, _, _, v in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])):
+            assert got[i] == run
+            run += v
 
 
 # decontamination
@@ -437,7 +508,7 @@ def test_decontamination_of_odd_rows(spark):
     assert decontam.contamination(brute.documents(spark, rows).limit(0), bench).count() == 0
     assert decontam.contamination(brute.documents(spark, rows), bench.limit(0)).count() == len(rows)
     clean = decontam.drop_contaminated(brute.documents(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in clean.collect()) == [1, 2, 3, 3, 6]
+    assert sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 3]  # one occurring item is enough, short ones too
 
 
 def test_proximity(spark):
@@ -466,11 +537,39 @@ def test_repeats_against_brute_force(spark):
     assert ORDER(map(tuple, got)) == ORDER(brute.without_repeats([(r[0], r[1]) for r in rows]))
 
 
-def test_repeats_of_crowded_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+@pytest.mark.parametrize("hot, shared", [(3, 20_000), (1, 4)])
+def test_repeats_of_crowded_anchors(spark, monkeypatch, hot, shared):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SHARED", shared)
     rng = random.Random(8)
     passage = "".join(rng.choices("abcd ", k=130))
-    rows = [(i, "".join(rng.choices("xyz", k=60)) + passage + "".join(rng.choices("xyz", k=60)), "en", "s") for i in range(25)]
+    own = lambda n: "".join(rng.choices("xyz", k=n))
+    rows = [(i, own(60) + passage + own(60), "en", "s") for i in range(25)]
+    rows += [(100 + i, own(40) + passage[:70] + own(9)[: i % 3] + passage[70:] + own(30), "en", "s") for i in range(20)]
+    rows += [(None, own(50) + passage[10:120] + own(3), "en", "s") for _ in range(8)] + [(200, passage, "en", "s")] * 6
+    got = suffix_dedup.op10_frame(brute.documents(spark, rows)).collect()
+    assert ORDER(map(tuple, got)) == ORDER(brute.without_repeats([(r[0], r[1]) for r in rows]))
+
+
+def test_repeats_of_many_rows_without_an_id(spark):
+    """Texts of one id are told apart by far more than the 23 bits that once let some of them collide."""
+    rng = random.Random(21)
+    passage = "".join(rng.choices("abcd ", k=180))
+    rows = [(None, "".join(rng.choices("abcdefgh", k=rng.randint(100, 300))) + (passage if i % 97 == 0 else ""), "en", "s") for i in range(3000)]
+    got = suffix_dedup.op10_frame(brute.documents(spark, rows, extra=False)).collect()
+    assert ORDER(map(tuple, got)) == ORDER(brute.without_repeats([(r[0], r[1]) for r in rows]))
+
+
+def test_repeats_in_a_text_over_a_piece(spark, monkeypatch):
+    rng = random.Random(22)
+    passage = "".join(rng.choices("abcd ", k=150))
+    text = "".join(rng.choices("abcdefgh", k=30_000)) + passage + "".join(rng.choices("abcdefgh", k=20_000)) + passage
+    rows = [(1, text, "en", "s"), (2, passage, "en", "s"), (3, text[20_000:20_400], "en", "s")]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 4096)
+    got = suffix_dedup.anchor_runs(text.encode())
+    monkeypatch.undo()
+    runs = lambda r: {(int(g), int(f) + i) for g, f, n in zip(*r, strict=True) for i in range(n)}
+    assert runs(got) == runs(suffix_dedup.anchor_runs(text.encode()))  # pieces give each window the same anchor
     got = suffix_dedup.op10_frame(brute.documents(spark, rows)).collect()
     assert ORDER(map(tuple, got)) == ORDER(brute.without_repeats([(r[0], r[1]) for r in rows]))
 
