@@ -6,7 +6,7 @@ delete, and a value that is a string for scalars, a JSON array for sets and a JS
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CHANGE = "array<struct<field:string,op:int,value:string>>"
 _SET, _MAP = "array<string>", "map<string,string>"
@@ -49,6 +49,15 @@ def changed_fields(fields: dict[str, str], a: str, b: str) -> Column:
     return F.array_compact(F.array(*[F.when(~same(n, k), F.lit(n)) for n, k in fields.items()]))
 
 
+def changed_by_commit(commits: DataFrame, fields: dict[str, str], record: str = "record") -> DataFrame:
+    """(id, fields): what a commit changed against any of its parents that are in the log.  Commits (id, parents, record)."""
+    up = commits.select("id", F.explode("parents").alias("_parent"), F.col(record).alias("_new"))
+    pairs = up.join(commits.select(F.col("id").alias("_parent"), F.col(record).alias("_old")), "_parent")
+    each = pairs.select("id", changed_fields(fields, "_old", "_new").alias("_f"))
+    some = each.groupBy("id").agg(*[F.bool_or(F.array_contains("_f", n)).alias(f"_{i}") for i, n in enumerate(fields)])
+    return some.select("id", F.array_compact(F.array(*[F.when(F.col(f"_{i}"), F.lit(n)) for i, n in enumerate(fields)])).alias("fields"))
+
+
 def equal_maps_safe(a: Column, b: Column) -> Column:
     return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
 
@@ -73,6 +82,36 @@ def patch(fields: dict[str, tuple[str, str]], record: str, changes: str) -> Colu
     return F.struct(*[patch_field(n, k, t, F.col(f"{record}.{n}"), F.col(changes)).alias(n) for n, (k, t) in fields.items()])
 
 
+def from_wire(edit: Column, dates: list[str]) -> Column:
+    """Changes of an edit's JSON: {field: [{operation, vType, value}]}; tagged values are unwrapped, dates are milliseconds."""
+    read = F.from_json(edit, "map<string,array<struct<operation:int,value:string>>>")
+
+    def of(field: Column, c: Column) -> Column:
+        bare = F.coalesce(F.get_json_object(c["value"], "$.__v"), c["value"])
+        when = F.round(bare.try_cast("double") * 1000).cast("bigint").cast("string")
+        value = F.when(field.isin(dates), when).otherwise(bare) if dates else bare
+        return F.struct(field.alias("field"), c["operation"].alias("op"), value.alias("value"))
+
+    return F.flatten(F.transform(F.map_entries(read), lambda e: F.transform(e["value"], lambda c: of(e["key"], c)))).cast(CHANGE)
+
+
+def to_wire(changes: Column, types: dict[str, str]) -> Column:
+    """The JSON that ``from_wire`` reads: sets and dates carry their tags, numbers, booleans and maps are bare JSON."""
+    kinds = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+
+    def one(c: Column) -> Column:
+        kind = kinds[c["field"]]
+        tagged = F.when(kind == "set", F.concat(F.lit('{"__t":"S","__v":'), c["value"], F.lit("}"))).when(kind == "date", F.concat(F.lit('{"__t":"D","__v":'), (c["value"].cast("double") / 1000).cast("string"), F.lit("}")))
+        # a struct of one string, written as JSON, quotes and escapes it
+        quoted = F.regexp_extract(F.to_json(F.struct(c["value"].alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+        value = F.coalesce(tagged, F.when(kind.isin("number", "boolean", "map"), c["value"]).otherwise(quoted))
+        return F.concat(F.lit('{"changeType":"fd","operation":'), c["op"].cast("string"), F.lit(',"vType":"'), kind, F.lit('","value":'), value, F.lit("}"))
+
+    names = F.array_distinct(F.transform(changes, lambda c: c["field"]))
+    lists = F.transform(names, lambda n: F.concat(F.lit('"'), n, F.lit('":['), F.array_join(F.transform(F.filter(changes, lambda c: c["field"] == n), one), ","), F.lit("]")))
+    return F.concat(F.lit("{"), F.array_join(lists, ","), F.lit("}"))
+
+
 def concat_changes(*changes: str) -> Column:
     return F.concat(*changes)
 

@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 
 
 MAX_SPAN = 128  # levels of a round in long histories
@@ -51,20 +51,36 @@ def newest_per(commits: DataFrame, *by: str) -> DataFrame:
     return commits.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def _by_snapshot(rows: DataFrame, commits: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with the full commits: a delta by its base, a full commit by itself, so no key is null."""
+    full = commits.where("base is null").select(F.col("id").alias("_full"))
+    return rows.join(full, F.coalesce("base", "id") == F.col("_full"), how)
+
+
 def leaves(commits: DataFrame) -> DataFrame:
-    """Mergeable leaves: the newest leaf of each key and connection."""
-    return newest_per(leaves_raw(commits), "key", "connection")
+    """Mergeable leaves: of those whose record can be read, the newest of each key and connection."""
+    raw = leaves_raw(commits)
+    return newest_per(_by_snapshot(raw, commits, "left_semi") if "base" in commits.columns else raw, "key", "connection")
 
 
 def heads(commits: DataFrame, connection: str | None = None, session: object = None) -> DataFrame:
-    """One commit per key: the newest leaf, or the newest by preference of an own connection, then an own session."""
+    """One commit per key: the newest leaf, or the newest by preference of an own connection, then an own session.
+
+    A key without a readable leaf has the best of all its readable commits; one without any has no head.
+    """
     mine = F.lit(0)
     if session is not None:
         mine = F.when(F.col("session") == session, 1).otherwise(mine)
     if connection is not None:
         mine = F.when(F.col("connection") == connection, 2).otherwise(mine)
     rank = F.row_number().over(W.partitionBy("key").orderBy(mine.desc(), *newest_first()))
-    return leaves(commits).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    best = lambda rows: rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    top = best(leaves(commits))
+    if "base" not in commits.columns:
+        return top
+    unreadable = _by_snapshot(leaves_raw(commits), commits, "left_anti").select("key").distinct()
+    missing = unreadable.join(top.select("key"), "key", "left_anti")
+    return top.unionByName(best(_by_snapshot(commits.join(missing, "key", "left_semi"), commits, "left_semi")).select(top.columns))
 
 
 def items_current(commits: DataFrame) -> DataFrame:
@@ -83,16 +99,29 @@ def before(commits: DataFrame, when: Column, sessions: list | None = None) -> Da
     return newest_per(some.where(F.col("session").isin(sessions)) if sessions else some, "key")
 
 
+def as_of_pair_base(commits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, base): the newest readable commit of the key before both, by one of their two sessions; null where none is."""
+    named = lambda x: commits.select(F.col("id").alias(x), F.col("key").alias(f"_key_{x}"), F.col("ts").alias(f"_ts_{x}"), F.col("session").alias(f"_s_{x}"))
+    known = pairs.select("a", "b").distinct().join(named("a"), "a").join(named("b"), "b")
+    wide = known.select("a", "b", F.col("_key_a").alias("key"), F.least("_ts_a", "_ts_b").alias("_least"), F.explode(F.array_distinct(F.array("_s_a", "_s_b"))).alias("session"))
+    met = wide.join(readable(commits).select("id", "key", "session", "ts"), ["key", "session"]).where(F.col("ts") < F.col("_least"))
+    return pairs.join(met.groupBy("a", "b").agg(F.max_by("id", F.struct("ts", "id")).alias("base")), ["a", "b"], "left")
+
+
 def latest_matching(commits: DataFrame, predicate: Column) -> DataFrame:
     return newest_per(commits.where(predicate), "key")
 
 
-def revert_connection(commits: DataFrame, connections: list[str]) -> DataFrame:
-    """Heads of given connections fall back to the newest commit of the key that others wrote."""
+def revert_connection(commits: DataFrame, connections: list[str], span: int = 8) -> DataFrame:
+    """Heads of given connections fall back to their newest readable ancestor that others wrote; without one they stay."""
     top = heads(commits)
-    bad = top.where(F.col("connection").isin(connections)).select("key")
-    other = newest_per(commits.where(~F.col("connection").isin(connections)).join(bad, "key", "left_semi"), "key")
-    return top.where(~F.col("connection").isin(connections)).unionByName(other)
+    bad = top.where(F.col("connection").isin(connections)).select("id")
+    good = (readable(commits) if "base" in commits.columns else commits).where(~F.col("connection").isin(connections))
+    reach = ancestors(commits.join(top.where(F.col("connection").isin(connections)).select("key"), "key", "left_semi"), bad, span=span)
+    rank = F.row_number().over(W.partitionBy("_head").orderBy(*newest_first()))
+    back = good.join(reach.select(F.col("anc").alias("id"), F.col("id").alias("_head")), "id").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    stay = top.join(back.select(F.col("_head").alias("id")), "id", "left_anti")
+    return stay.select(commits.columns).unionByName(back.select(commits.columns))
 
 
 def orphans(commits: DataFrame) -> DataFrame:
@@ -113,7 +142,8 @@ def _hops(e: DataFrame, span: int = 8) -> DataFrame:
     """
     hop, reach = e.select("id", F.col("parent").alias("anc"), F.lit(1).alias("d")).distinct(), 1
     while reach < span:
-        hop, reach = _doubled(hop), reach * 2
+        old, hop, reach = hop, _doubled(hop), reach * 2
+        dropped(old)
     return hop
 
 
@@ -125,7 +155,11 @@ def _doubled(hop: DataFrame) -> DataFrame:
 
 def _longer(hop: DataFrame, span: int, depth: int) -> tuple[DataFrame, int]:
     """The table of hops and its span for the next round: long histories get longer hops, up to ``MAX_SPAN``."""
-    return (_doubled(hop), span * 2) if span < MAX_SPAN and depth >= 16 * span else (hop, span)
+    if span >= MAX_SPAN or depth < 16 * span:
+        return hop, span
+    wider = _doubled(hop)
+    dropped(hop)
+    return wider, span * 2
 
 
 def _grown(known: DataFrame | None, new: DataFrame, rounds: int, label: str) -> DataFrame:
@@ -156,24 +190,26 @@ def ancestors(commits: DataFrame, start: DataFrame | None = None, max_depth: int
     return found
 
 
-def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int | None = None, span: int = 8) -> DataFrame:
+def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int | None = None, span: int = 16) -> DataFrame:
     """(a, b, lca) for pairs of commits, null where they have none.
 
     A root has none; equal contents give ``a``; a parent of the other gives itself; else parents are expanded level by
-    level on both sides, and the newest readable commit of the first level that both have reached wins.  Pairs that
-    are settled leave the frontier, so the number of levels is that of the answers, not of the histories.
+    level on both sides, and the newest readable commit of the first level that both have reached wins.  Only keys with
+    an open pair are expanded, and pairs that are settled leave the frontier, so the number of levels is that of the
+    answers, not of the histories.
     """
-    side = commits.select("id", "parents", *[c for c in ("checksum",) if c in commits.columns])
+    extra = [c for c in ("checksum",) if c in commits.columns]
+    side = commits.select("id", "key", "parents", *extra)
     named = lambda x: side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns])
     known = pairs.select("a", "b").distinct().join(named("a"), F.col("a") == F.col("id_a")).join(named("b"), F.col("b") == F.col("id_b"))
     root = (F.size("parents_a") == 0) | (F.size("parents_b") == 0)
-    same = F.col("checksum_a") == F.col("checksum_b") if "checksum" in side.columns else F.lit(False)
+    same = F.col("checksum_a") == F.col("checksum_b") if extra else F.lit(False)
     quick = F.when(same, F.col("a")).when(F.array_contains("parents_a", F.col("b")), F.col("b")).when(F.array_contains("parents_b", F.col("a")), F.col("a"))
-    first = written(known.select("a", "b", F.when(~root, quick).alias("lca"), root.alias("done")), "lca")
+    first = written(known.select("a", "b", F.col("key_a").alias("key"), F.when(~root, quick).alias("lca"), root.alias("done")), "lca")
     settled = [first.where("done or lca is not null").select("a", "b", "lca")]
-    left = first.where("not done and lca is null").select("a", "b")
+    left = first.where("not done and lca is null").select("a", "b", "key")
     good = readable(commits).select(F.col("id").alias("anc"), F.col("ts").alias("_ts"))
-    hop = _hops(edges(commits), span)
+    hop = _hops(edges(commits).join(left.select("key").distinct(), "key", "left_semi"), span)
     sides = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
     frontier, reach, depth, rounds = sides(left).select("id", F.col("id").alias("at")), None, 0, 0
     while max_depth is None or depth < max_depth:
@@ -185,14 +221,16 @@ def lca_pairs(commits: DataFrame, pairs: DataFrame, max_depth: int | None = None
         depth += span
         ra, rb = reach.select(F.col("id").alias("a"), "anc", F.col("depth").alias("da")), reach.select(F.col("id").alias("b"), "anc", F.col("depth").alias("db"))
         met = left.join(ra, "a").join(rb, ["b", "anc"]).join(good, "anc")
-        found = written(met.groupBy("a", "b").agg(F.max_by("anc", F.struct(-F.greatest("da", "db"), "_ts", "anc")).alias("lca")), "lca")
-        settled.append(found)
+        found = met.groupBy("a", "b").agg(F.max_by("anc", F.struct(-F.greatest("da", "db"), "_ts", "anc")).alias("lca"))
+        state = written(left.join(found, ["a", "b"], "left"), "lca")
+        settled.append(state.where("lca is not null").select("a", "b", "lca"))
         if rounds % 32 == 0:
             settled = [written(reduce(DataFrame.unionByName, settled), "lca")]
-        left = written(left.join(found, ["a", "b"], "left_anti"), "lca")
+        left = state.where("lca is null").select("a", "b", "key")
         frontier = new.where(F.col("depth") == depth).join(sides(left), "id", "left_semi").select("id", F.col("anc").alias("at"))
         if frontier.isEmpty():
             break
+    dropped(hop)
     return pairs.join(reduce(DataFrame.unionByName, settled), ["a", "b"], "left")
 
 
@@ -207,12 +245,14 @@ def merge_bases(commits: DataFrame, leaf_set: DataFrame | None = None) -> DataFr
     state = ranked.where("_n = 1").select("key", F.col("id").alias("base"), F.array("id").alias("merged"), F.array().cast(found.select(F.array("id")).schema[0].dataType).alias("unmerged"))
     for n in range(2, (ranked.agg(F.max("_n")).first()[0] or 0) + 1):
         turn = ranked.where(F.col("_n") == n).select("key", F.col("id").alias("_c"))
-        joined = written(state.join(turn, "key", "left"), "bases")
+        before, joined = state, written(state.join(turn, "key", "left"), "bases")
+        dropped(before)
         pairs = joined.where("_c is not null").select(F.col("base").alias("a"), F.col("_c").alias("b"))
         lca = lca_pairs(commits, pairs).select(F.col("a").alias("base"), F.col("b").alias("_c"), "lca").distinct()
         step = joined.join(lca, ["base", "_c"], "left")
         here = F.col("_c").isNotNull()
         state = written(step.select("key", F.coalesce("lca", "base").alias("base"), F.when(here & F.col("lca").isNotNull(), F.concat("merged", F.array("_c"))).otherwise(F.col("merged")).alias("merged"), F.when(here & F.col("lca").isNull(), F.concat("unmerged", F.array("_c"))).otherwise(F.col("unmerged")).alias("unmerged")), "bases")
+        dropped(joined)
     return state
 
 
@@ -236,13 +276,15 @@ def forest(commits: DataFrame, max_depth: int | None = None, span: int = 8) -> D
 def descendants(commits: DataFrame, root: object, max_depth: int | None = None) -> DataFrame:
     """(id): the subgraph below one commit."""
     e = edges(commits).select("id", "parent")
-    known = frontier = written(e.where(F.col("parent") == root).select("id").distinct(), "below")
+    frontier = written(e.where(F.col("parent") == root).select("id").distinct(), "below")
+    known = frontier.select("id")
     for _ in count() if max_depth is None else range(max_depth):
         more = e.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct()
         frontier = written(more.join(known, "id", "left_anti"), "below")
         if frontier.isEmpty():
             break
-        known = written(known.union(frontier), "below")
+        before, known = known, written(known.union(frontier), "below")
+        dropped(before)
     return known
 
 
@@ -270,5 +312,4 @@ def merge_leader(commits: DataFrame) -> DataFrame:
 
 def readable(commits: DataFrame) -> DataFrame:
     """Commits whose delta base is an available full snapshot (or that are full)."""
-    full = commits.where("base is null").select(F.col("id").alias("base"))
-    return commits.where("base is null").unionByName(commits.where("base is not null").join(full, "base", "left_semi").select(commits.columns))
+    return _by_snapshot(commits, commits, "left_semi")

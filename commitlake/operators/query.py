@@ -60,6 +60,11 @@ class Query:
     def has(self, key: Any) -> bool:
         return not self.members().where(F.col("key") == key).isEmpty()
 
+    def membership(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (key, ...) with ``member``: the test of ``has`` for a whole table."""
+        own = self.keys().distinct().withColumn("member", F.lit(True))
+        return keys.join(own, "key", "left").withColumn("member", F.coalesce("member", F.lit(False)))
+
     def value(self, key: Any) -> DataFrame:
         return self.members().where(F.col("key") == key)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from ..functions.collections import checksum
 from .change import patch
@@ -16,23 +17,27 @@ def record_checksum(record: str, fields: dict[str, tuple[str, str]]) -> Column:
     return checksum(*[value(n, k) for n, (k, _) in fields.items()])
 
 
-def materialise(commits: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+def materialise(commits: DataFrame, fields: dict[str, tuple[str, str]], snapshots: DataFrame | None = None) -> DataFrame:
     """Adds ``value`` (the record) and ``corrupt`` to commits (id, base, record, edit, source_checksum, checksum).
 
+    ``snapshots`` (id, base, record) holds the full commits where ``commits`` may lack some of them.
+
     A full commit has a record; a delta has a base, which is a full commit, and an edit: one self-join on the base.
     A delta is corrupt if its base's or its result's checksum isn't the stored one, or if the base is absent.
     """
-    full = commits.where("base is null").select(F.col("id").alias("base"), F.col("record").alias("_base"))
-    both = commits.join(full, "base", "left").withColumn("_patched", F.when(F.col("_base").isNotNull(), patch(fields, "_base", "edit")))
+    source = commits if snapshots is None else snapshots
+    full = source.where("base is null").select(F.col("id").alias("_full"), F.col("record").alias("_base"))
+    # a full commit joins itself, so that no join key is null
+    both = commits.join(full, F.coalesce("base", "id") == F.col("_full"), "left").withColumn("_patched", F.when(F.col("_base").isNotNull(), patch(fields, "_base", "edit")))
     ok = F.coalesce((record_checksum("_base", fields) == F.col("source_checksum")) & (record_checksum("_patched", fields) == F.col("checksum")), F.lit(False))
     delta = F.col("base").isNotNull()
     value = F.when(~delta, F.col("record")).when(ok, F.col("_patched"))
-    return both.withColumns({"value": value, "corrupt": delta & ~ok}).drop("_base", "_patched")
+    return both.withColumns({"value": value, "corrupt": delta & ~ok}).drop("_full", "_base", "_patched")
 
 
-def with_fallback(materialised: DataFrame) -> DataFrame:
-    """Corrupt commits take the record of the newest good commit of their key, or null."""
-    good = newest_per(materialised.where("not corrupt"), "key").select("key", F.col("value").alias("_good"))
+def with_fallback(materialised: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Corrupt commits take the record of the newest good commit of their key, or null; ``others`` are all its commits."""
+    good = newest_per((materialised if others is None else others).where("not corrupt"), "key").select("key", F.col("value").alias("_good"))
     return materialised.join(good, "key", "left").withColumn("value", F.when(F.col("corrupt"), F.col("_good")).otherwise(F.col("value"))).drop("_good")
 
 
@@ -56,6 +61,12 @@ def newest_good_ancestor(materialised: DataFrame, max_depth: int | None = None)
     return found.distinct()
 
 
+def delta_base(commits: DataFrame) -> DataFrame:
+    """(id, base): for each commit, the newest full snapshot of its key before it (in log order), null where there is none."""
+    order = W.partitionBy("key").orderBy("age").rowsBetween(W.unboundedPreceding, -1)
+    return commits.select("id", F.last(F.when(F.col("is_full"), F.col("id")), ignorenulls=True).over(order).alias("base"))
+
+
 def deltas(commits: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """Full records against the newest earlier full snapshot: adds ``full_length``, ``delta_length`` and ``kept``."""
     from .change import delta_kept, diff

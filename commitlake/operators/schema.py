@@ -37,6 +37,9 @@ class Scheme:
     def all_fields(self) -> dict[str, FieldDef]:
         return self.fields | {"isDeleted": FieldDef("boolean")}
 
+    def dates(self) -> list[str]:
+        return [n for n, f in self.all_fields().items() if f.type == "date"]
+
     def ddl(self) -> str:
         return ", ".join(f"`{n}` {TYPES[f.type]}" for n, f in self.all_fields().items())
 
@@ -60,6 +63,23 @@ def decode(payload: Column, scheme: Scheme) -> Column:
     return F.struct(*parts)
 
 
+def kinds(scheme: Scheme) -> dict[str, tuple[str, str]]:
+    """(kind, Spark type) of each field of a raw record, in which dates are milliseconds."""
+    raw = {"date": ("number", "bigint")}
+    return {n: raw.get(f.type, (f.type if f.type in ("set", "map") else "scalar", TYPES[f.type])) for n, f in scheme.all_fields().items()}
+
+
+def raw_record(payload: Column, scheme: Scheme) -> Column:
+    """A JSON payload as a struct whose values don't depend on a time zone."""
+    r = decode(payload, scheme)
+    return F.struct(*[(F.unix_millis(r[n]) if n in scheme.dates() else r[n]).alias(n) for n in scheme.all_fields()])
+
+
+def typed_record(record: str, scheme: Scheme) -> Column:
+    at = lambda n: F.col(f"{record}.{n}")
+    return F.struct(*[(F.timestamp_millis(at(n)) if n in scheme.dates() else at(n)).alias(n) for n in scheme.all_fields()])
+
+
 def normalise(df: DataFrame, scheme: Scheme) -> DataFrame:
     """Empty sets and maps become null; absent fields take their defaults, each over the raw row."""
     new = {}

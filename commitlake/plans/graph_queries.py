@@ -80,10 +80,13 @@ def latest_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.latest_matching(log(spark, sf_dir), F.col("value") > 50).select("id", "key")
 
 
-@query(LOG + """, o as (select id, key from commits c where connection <> 'click' and exists (select 1 from heads h where h.key = c.key and h.connection = 'click')
-  qualify row_number() over (partition by key order by ts desc, id desc) = 1)
-select id, key from heads where connection <> 'click' union all select id, key from o""")
+@query("with recursive " + LOG.strip().removeprefix("with ") + """,
+bad as (select id from heads where connection = 'click'),
+reach(id, anc) as (select e.id, e.parent from edges e join bad on bad.id = e.id union select r.id, e.parent from reach r join edges e on e.id = r.anc),
+back as (select r.id as head, c.id, c.key from reach r join commits c on c.id = r.anc where c.connection <> 'click' qualify row_number() over (partition by r.id order by c.ts desc, c.id desc) = 1)
+select id, key from back union all select id, key from heads where id not in (select head from back)""")
 def revert_connection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads by one connection go back to their newest ancestor by another."""
     return graph.revert_connection(log(spark, sf_dir), ["click"]).select("id", "key")
 
 
@@ -139,6 +142,74 @@ def lca_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lca_pairs(c, pairs.where("b is not null").select("a", "b")).select("a", "b", "lca")
 
 
+_PART = """, part as (select * from commits where not (base is null and id % 4 = 0)), full_ids as (select id from part where base is null),
+ok as (select * from part where base is null or base in (select id from full_ids)), named as (select unnest(parents) as parent from part),
+lv as (select * from ok where id not in (select parent from named) qualify row_number() over (partition by key, connection order by ts desc, id desc) = 1),
+top as (select * from lv qualify row_number() over (partition by key order by ts desc, id desc) = 1)"""
+
+
+def part_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that a quarter of the full commits has not reached, so that some leaves can't be read."""
+    return log(spark, sf_dir).where("not (base is null and id % 4 = 0)")
+
+
+@query(LOG + _PART + " select id, key, connection from lv")
+def leaves_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.leaves(part_of_log(spark, sf_dir)).select("id", "key", "connection")
+
+
+@query(LOG + _PART + """, back as (select * from ok where key not in (select key from top) qualify row_number() over (partition by key order by ts desc, id desc) = 1)
+select id, key from top union all select id, key from back""")
+def heads_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose leaves can't be read have the best of their readable commits."""
+    return graph.heads(part_of_log(spark, sf_dir)).select("id", "key")
+
+
+def two_newest_leaves(c: DataFrame) -> DataFrame:
+    n = F.row_number().over(W.partitionBy("key").orderBy(F.desc("ts"), F.desc("id")))
+    return graph.leaves(c).withColumn("n", n).where("n <= 2")
+
+
+_TWO = LOG.strip().removeprefix("with ") + """,
+r2 as (select *, row_number() over (partition by key order by ts desc, id desc) as n from leaves),
+pairs as (select x.key, y.id as a, x.id as b from r2 x join r2 y on x.key = y.key and x.n = 1 and y.n = 2),
+reach(id, anc, depth) as (select e.id, e.parent, 1 from edges e where e.id in (select a from pairs union select b from pairs)
+  union select r.id, e.parent, r.depth + 1 from reach r join edges e on e.id = r.anc),
+low as (select id, anc, min(depth) as depth from reach group by id, anc),
+best as (select a, b, l.anc from pairs join low l on l.id = a join low m on m.id = b and m.anc = l.anc
+  qualify row_number() over (partition by a, b order by greatest(l.depth, m.depth), l.anc desc) = 1),
+lca as (select p.key, p.a, p.b, case when len(ca.parents) = 0 or len(cb.parents) = 0 then null when list_contains(ca.parents, p.b) then p.b
+    when list_contains(cb.parents, p.a) then p.a else best.anc end as lca
+  from pairs p join commits ca on ca.id = p.a join commits cb on cb.id = p.b left join best on best.a = p.a and best.b = p.b)"""
+
+
+@query("with recursive " + _TWO + """ select key, coalesce(lca, a) as base, case when lca is null then 1 else 2 end as merged, case when lca is null then 1 else 0 end as unmerged from lca
+union all select key, id, 1, 0 from r2 where key not in (select key from pairs)""")
+def merge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two newest leaves of each key, folded from the older one."""
+    c = log(spark, sf_dir)
+    found = graph.merge_bases(c, two_newest_leaves(c))
+    return found.select("key", "base", F.size("merged").alias("merged"), F.size("unmerged").alias("unmerged"))
+
+
+@query(LOG + """, r2 as (select *, row_number() over (partition by key order by ts desc, id desc) as n from leaves),
+pairs as (select x.key, x.id as a, y.id as b, least(x.ts, y.ts) as least_ts, x.session as sa, y.session as sb from r2 x join r2 y on x.key = y.key and x.n = 1 and y.n = 2),
+met as (select a, b, c.id from pairs p join commits c on c.key = p.key and c.ts < least_ts and c.session in (sa, sb) qualify row_number() over (partition by a, b order by c.ts desc, c.id desc) = 1)
+select p.a, p.b, met.id as base from pairs p left join met on met.a = p.a and met.b = p.b""")
+def as_of_pair_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = log(spark, sf_dir)
+    pairs = two_newest_leaves(c).groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.col("id"))).alias("a"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("b"))
+    return graph.as_of_pair_base(c, pairs.where("b is not null").select("a", "b"))
+
+
+@query("with recursive " + LOG.strip().removeprefix("with ") + """, start as (select min(id) as id from commits),
+below(id) as (select e.id from edges e, start where e.parent = start.id union select e.id from below b join edges e on e.parent = b.id) select id from below""")
+def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commits below the first one."""
+    c = log(spark, sf_dir)
+    return graph.descendants(c, c.agg(F.min("id")).first()[0])
+
+
 @query("with recursive " + LOG.strip().removeprefix("with ") + """,
 walk(id, depth) as (select id, 0 from commits where len(parents) = 0 union select e.id, w.depth + 1 from walk w join edges e on e.parent = w.id)
 select id, min(depth)::int as depth from walk group by id""")
@@ -196,8 +267,8 @@ def query_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey as key, exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 100000) as member from customer")
 def query_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    members = t("orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("key")).distinct().withColumn("member", F.lit(True))
-    return t("customer").select(F.col("c_custkey").alias("key")).join(members, "key", "left").select("key", F.coalesce("member", F.lit(False)).alias("member"))
+    dear = q.Query(t("orders").withColumnRenamed("o_custkey", "key"), predicate=F.col("o_totalprice") > 100000, name="orders")
+    return dear.membership(t("customer").select(F.col("c_custkey").alias("key")))
 
 
 @query(LOG + "select key, id, value, event_type from items order by value desc, key limit 20")

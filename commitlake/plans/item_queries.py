@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import richtext
 from ..functions.collections import checksum
 from ..operators import change, graph, merge, records, schema, sync
+from .graph_queries import _TWO, two_newest_leaves
 from .registry import LOG, query
 from .synthetic import synthetic_commits as log
 
@@ -28,9 +29,12 @@ def against_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR = LOG + ", p as (select c.id, c.k, c.event_type, o.k as ok, o.event_type as oe from commits c join commits o on o.id = c.parents[1])"
 
 
-@query(_PAIR + "select id, concat_ws(',', case when k is distinct from ok then 'k' end, case when event_type is distinct from oe then 'event_type' end) as fields from p")
+@query(LOG + """, p as (select c.id, c.k, c.event_type, o.k as ok, o.event_type as oe from (select *, unnest(parents) as up from commits) c join commits o on o.id = c.up)
+select id, concat_ws(',', case when bool_or(k is distinct from ok) then 'k' end, case when bool_or(event_type is distinct from oe) then 'event_type' end) as fields from p group by id""")
 def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return against_parent(spark, sf_dir).select("id", F.array_join(change.changed_fields(FIELDS, "old", "new"), ",").alias("fields"))
+    """Against any parent of a commit."""
+    c = log(spark, sf_dir).select("id", "parents", F.struct(*FIELDS).alias("record"))
+    return change.changed_by_commit(c, FIELDS).select("id", F.array_join("fields", ",").alias("fields"))
 
 
 @query(_PAIR + "select id, 'k' as field, 1 as op, k::varchar as value from p where k is distinct from ok union all select id, 'event_type', 1, event_type from p where event_type is distinct from oe")
@@ -178,7 +182,52 @@ def corrupt_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LOG + "select id, base from commits where base is not null")
 def delta_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log(spark, sf_dir).where("base is not null").select("id", "base")
+    """The newest full snapshot before each commit; the log makes every third commit of a key one."""
+    bases = records.delta_base(log(spark, sf_dir).withColumn("is_full", F.col("rn") % 3 == 0))
+    return log(spark, sf_dir).where("rn % 3 <> 0").select("id").join(bases, "id").where("base is not null")
+
+
+@query("with recursive " + _TWO + """,
+st as (select key, coalesce(lca, a) as base, a as l1, case when lca is not null then b end as l2 from lca),
+tips as (select st.key, c.id, c.k, c.event_type, o.k as bk, o.event_type as be, len(c.parents) > 0 as nonroot from st join commits o on o.id = st.base join commits c on c.id = st.l1 or c.id = st.l2)
+select key, coalesce(arg_max(k, nonroot::int * 1e12 + id) filter (k is distinct from bk), min(bk)) as k,
+  coalesce(arg_max(event_type, nonroot::int * 1e12 + id) filter (event_type is distinct from be), min(be)) as event_type from tips group by key""")
+def merge_at_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two newest leaves of each key, merged relative to their own merge base."""
+    c = log(spark, sf_dir)
+    two = two_newest_leaves(c)
+    some = two.join(two.where("n = 2").select("key"), "key", "left_semi")
+    state = graph.merge_bases(c, some).select("key", "base", "merged")
+    base = state.select("key", F.col("base").alias("id")).join(c.select("id", *FIELDS), "id").select("key", *FIELDS)
+    tips = state.select(F.explode("merged").alias("id")).join(c, "id").withColumn("is_root", F.size("parents") == 0)
+    return merge.merge_records(tips, base, FIELDS)
+
+
+@query(LOG + """, p as (select key, list_sort(list(id)) as parents, max(ts) as ts from leaves group by key having count(*) > 1)
+select key, len(parents) as n_parents, parents[1] as first, parents[-1] as last, ts from p""")
+def merge_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = log(spark, sf_dir)
+    tips = graph.leaves(c)
+    made = merge.merge_commits(tips.select("key").distinct(), tips)
+    return made.select("key", F.size("parents").cast("long").alias("n_parents"), F.element_at("parents", 1).alias("first"), F.element_at("parents", -1).alias("last"), "ts")
+
+
+@query("with recursive " + _CORRUPT.strip().removeprefix("with ") + """,
+up(id, anc, bad) as (select x.id, e.parent, y.corrupt from x join edges e on e.id = x.id join x y on y.id = e.parent where x.corrupt
+  union select u.id, e.parent, y.corrupt from up u join edges e on e.id = u.anc join x y on y.id = e.parent where u.bad)
+select distinct id, anc as good from up where not bad""")
+def newest_good_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest ancestors of each corrupt commit that aren't."""
+    return records.newest_good_ancestor(records.materialise(with_records(spark, sf_dir), TYPED))
+
+
+@query(_CORRUPT + """ select h.key, h.id, case when x.corrupt then good.k else x.k end as k, case when x.corrupt then good.event_type else x.event_type end as event_type
+from heads h join x on x.id = h.id left join good on good.key = h.key where not h.is_deleted""")
+def items_materialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current items as records: deltas through their base, corrupt ones from the newest good commit of their key."""
+    c = with_records(spark, sf_dir)
+    top = records.materialise(graph.items_current(c), TYPED, c)
+    return records.with_fallback(top, records.materialise(c, TYPED)).select("key", "id", "value.k", "value.event_type")
 
 
 @query()

@@ -1,7 +1,8 @@
 """Structured Streaming over a commit log: heads and query results kept as tables, one generation per micro-batch.
 
-State is a pair of Parquet tables (commits that are still leaves, and heads) named by batch id, with a pointer file
-written last: a batch that is repeated after a failure writes the same generation again, so results are exactly once.
+A generation is named by its batch id and complete when its _SUCCESS file is there: a batch that is repeated after a
+failure starts from the one before its own and writes the same again, so results are exactly once.  Generations older
+than the last two are deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.graph import edges, newest_per
+from ..operators.graph import newest_per
 from ..operators.query import Query, result_delta
 from ..sources.log import parse_commits
 
@@ -28,8 +29,8 @@ def deduplicated(commits: DataFrame, delay: str = "30 days") -> DataFrame:
     return commits.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-class HeadTable:
-    """Open leaves per key after each batch; a late commit is another leaf, so lateness never changes what is right."""
+class Generations:
+    """Tables ``path/g=<batch id>``, each the whole state after a batch."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -39,39 +40,73 @@ class HeadTable:
         where = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def generation(self) -> int | None:
-        """The newest complete one: writers mark it with _SUCCESS."""
+    def complete(self) -> list[int]:
+        """Batch ids whose writer has left its mark, in order."""
         jvm, fs = self._fs()
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not fs.exists(at):
-            return None
+            return []
         found = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("g=")]
-        done = [int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=None)
+        return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def leaves(self, before: int | None = None) -> DataFrame | None:
-        g = self.generation()
-        if before is not None and g is not None and g >= before:
-            g = before - 1 if before else None
-        return None if g is None or g < 0 else self.spark.read.parquet(f"{self.path}/g={g}")
+    def state(self, before: int | None = None) -> DataFrame | None:
+        """The newest generation, or the newest before a batch."""
+        done = [g for g in self.complete() if before is None or g < before]
+        return self.spark.read.parquet(f"{self.path}/g={done[-1]}") if done else None
+
+    def store(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/g={batch_id}")
+        jvm, fs = self._fs()
+        for g in [g for g in self.complete() if g < batch_id][:-1]:  # a repeated batch needs the one before it
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/g={g}"), True)
+
+
+class HeadTable(Generations):
+    """Open leaves after each batch; a late commit is another leaf, so lateness never changes what is right.
+
+    Beside open leaves the state holds, without their contents, commits that have been named as parents and names whose
+    commits have not come: a repeated commit must not open again, and a parent may come after its child.  Both are kept
+    for ``keep`` of event time, which bounds the state by the open leaves and what happened within it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: str = "30 days"):
+        super().__init__(spark, path)
+        self.keep = keep
 
     def heads(self) -> DataFrame:
-        return newest_per(self.leaves().where("not _named"), "key")
+        return newest_per(self.state().where("not _named"), "key")
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        """Old rows and the batch; ``_named`` marks what a later commit names as a parent.
-
-        A parent may arrive after its child, so names of absent parents stay (as rows of their own) until they come.
-        """
-        old = self.leaves(batch_id)
-        fresh = batch.dropDuplicates(["id"]).withColumn("_named", F.lit(False)).withColumn("_here", F.lit(True))
-        named = edges(batch).select(F.col("parent").alias("id"), "key").distinct()
-        ghosts = named.select(*[F.col(c) if c in ("id", "key") else F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in fresh.columns if c not in ("_named", "_here")], F.lit(True).alias("_named"), F.lit(False).alias("_here"))
-        rows = fresh.unionByName(ghosts)
+        old = self.state(batch_id)
+        fresh = batch.dropDuplicates(["id"]).withColumns({"_named": F.lit(False), "_seen": F.col("ts")})
+        others = [c for c in fresh.columns if c not in ("id", "key", "_named", "_seen")]
+        named = batch.select(F.explode("parents").alias("id"), "key", F.col("ts").alias("_seen"))
+        empty = [F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in others]
+        rows = fresh.unionByName(named.select("id", "key", "_seen", F.lit(True).alias("_named"), *empty))
         rows = rows if old is None else old.unionByName(rows)
-        others = [c for c in fresh.columns if c not in ("id", "_named", "_here")]
-        one = rows.groupBy("id").agg(*[F.max_by(c, F.col("_here").cast("int")).alias(c) for c in others], F.bool_or("_named").alias("_named"), F.bool_or("_here").alias("_here"))
-        one.write.mode("overwrite").parquet(f"{self.path}/g={batch_id}")
+        contents = F.max_by(F.struct(*others), F.when(F.col("ts").isNotNull(), 1).otherwise(0)).alias("_c")
+        one = rows.groupBy("id").agg(F.first("key", ignorenulls=True).alias("key"), contents, F.bool_or("_named").alias("_named"), F.max("_seen").alias("_seen"))
+        shown = [F.when(~F.col("_named"), F.col(f"_c.{c}")).alias(c) for c in others]
+        newest = rows.agg(F.max("_seen")).first()[0]
+        old_enough = F.col("_named") & (F.col("_seen") < F.lit(newest) - F.expr(f"interval {self.keep}"))
+        self.store(one.where(~F.coalesce(old_enough, F.lit(False))).select("id", "key", "_named", "_seen", *shown), batch_id)
+
+
+class ResultTable(Generations):
+    """Keys of a query's result after each batch: only keys that the batch touched are tested again."""
+
+    def __init__(self, spark: SparkSession, path: str, **config):
+        super().__init__(spark, path)
+        self.config = config  # scheme, predicate and ctx of the query
+
+    def update(self, heads: DataFrame, touched: DataFrame, batch_id: int) -> DataFrame:
+        """Returns (key, change), the keys that entered or left the result."""
+        keys = touched.select("key").distinct()
+        now = Query(heads.join(keys, "key", "left_semi"), **self.config).keys()
+        old = self.state(batch_id)
+        self.store(now if old is None else old.join(keys, "key", "left_anti").unionByName(now), batch_id)
+        mark = lambda df: df.withColumn("_v", F.lit(1))
+        return result_delta(mark(now.limit(0) if old is None else old), mark(self.state()), "_v")
 
 
 def maintain_heads(commits: DataFrame, path: str, checkpoint: str, on_change: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

@@ -63,6 +63,68 @@ def test_engine(spark, tmp_path):
         engine.repo("one")
 
 
+def delta(id, key, ts, base, changes, sc, dc, parents, connection="A"):
+    body = {"b": base, "e": {"sc": sc, "dc": dc, "c": changes, "s": "note/1"}}
+    return json.dumps({"ver": 1, "id": id, "k": key, "s": "s1", "ts": ts, "org": "localhost", "c": body, "p": parents, "cid": connection})
+
+
+def test_items_of_deltas_corruption_and_unreadable_leaves(spark, tmp_path):
+    from commitlake.operators import records
+
+    one = schema.Scheme("note", 1, {"text": schema.FieldDef("string"), "tags": schema.FieldDef("set"), "due": schema.FieldDef("date"), "n": schema.FieldDef("number")})
+
+    def sums(*payloads):
+        df = spark.createDataFrame([(p,) for p in payloads], "p string").select(schema.raw_record(F.col("p"), one).alias("r"))
+        return [r[0] for r in df.select(records.record_checksum("r", schema.kinds(one))).collect()]
+
+    old = {"text": "old", "tags": {"__t": "S", "__v": ["a", "b"]}, "due": {"__t": "D", "__v": 1_700_000_000.5}, "n": 1.5}
+    new = {"text": 'say "hi"', "tags": {"__t": "S", "__v": ["b", "c"]}, "due": {"__t": "D", "__v": 1_700_000_001}, "n": 1.5}
+    a, b, gone = sums(json.dumps(old), json.dumps(new), json.dumps(old | {"isDeleted": True}))
+    edit = {"text": [{"operation": 1, "value": 'say "hi"'}], "tags": [{"operation": -1, "value": {"__t": "S", "__v": ["a"]}}, {"operation": 1, "value": {"__t": "S", "__v": ["c"]}}], "due": [{"operation": 1, "value": {"__t": "D", "__v": 1_700_000_001}}]}
+    more = {k: v for k, v in old.items() if k != "text"}
+    rows = [
+        line("f1", "good", 1, text="old", **more), delta("d1", "good", 2, "f1", edit, a, b, ["f1"]),
+        line("f2", "bad", 1, text="old", **more), line("g2", "bad", 2, ["f2"], text="newer"), delta("d2", "bad", 3, "f2", edit, a, "wrong", ["g2"]),
+        line("f3", "gone", 1, text="old", **more), delta("d3", "gone", 2, "f3", {"isDeleted": [{"operation": 1, "value": True}]}, a, gone, ["f3"]),
+        line("f4", "far", 1, text="kept"), delta("d4", "far", 2, "absent", edit, a, b, ["f4"]),
+        delta("d5", "never", 2, "absent", edit, a, b, []),
+    ]
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "notes.jsonl").write_text("\n".join(rows))
+    repo = Engine(spark, str(tmp_path)).repo("data/notes")
+    got = {r["key"]: r for r in repo.items(one).collect()}
+    assert {k: r["text"] for k, r in got.items()} == {"good": 'say "hi"', "bad": "newer", "far": "kept"}
+    assert got["good"]["id"] == "d1" and got["good"]["tags"] == ["b", "c"] and got["good"]["n"] == 1.5
+    assert got["good"]["due"].timestamp() == 1_700_000_001 and got["far"]["id"] == "f4"
+    assert [r["id"] for r in repo.commits_of("bad").collect()] == ["d2", "g2", "f2"] and repo.commit("d4").count() == 1
+
+
+def test_writes_deltas_and_merges(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    repo = engine.repo("data/notes")
+    rows = spark.createDataFrame([(f"k{i}", "long " * 30, ["x"], "2024-01-02 03:04:05") for i in range(12)], "key string, text string, tags array<string>, d string").select("key", "text", "tags", F.to_timestamp("d").alias("due"))
+    repo.create(rows, NOTE)
+    query = repo.query(NOTE)
+    assert query.count() == 12 and repo.query(NOTE) is query
+    changed = repo.set_value(rows.withColumn("tags", F.array(F.lit("x"), F.lit("y"))), NOTE)
+    assert changed.where("base is not null").count() >= 6  # one in twenty is full
+    assert {tuple(r["tags"]) for r in repo.query(NOTE).results().collect()} == {("x", "y")} and repo.items(NOTE).first()["text"] == "long " * 30
+    assert repo.set_value(repo.items(NOTE).select("key", "text", "tags", "due"), NOTE).count() == 0
+    # two sides go on from the same head
+    head = repo.heads().where("key = 'k1'").first()["id"]
+    mark = lambda tags, text: {"text": text, "tags": {"__t": "S", "__v": tags}}
+    import os
+
+    sides = [("m1", "A", 4_000_000_000_000, mark(["x", "y", "z"], "long " * 30)), ("m2", "B", 4_000_000_000_001, mark(["y"], "other"))]
+    with open(os.path.join(str(tmp_path), "data", "notes.jsonl", "more.txt"), "w") as f:
+        f.write("\n".join(json.dumps({"ver": 1, "id": i, "k": "k1", "s": "s", "ts": ts, "org": "localhost", "p": [head], "cid": c, "c": {"r": {"s": "note/1", "d": d, "cs": i}}}) for i, c, ts, d in sides))
+    repo.forget()
+    made = repo.merge(NOTE)
+    assert [(r["key"], sorted(r["parents"]), r["merge_base"]) for r in made.collect()] == [("k1", ["m1", "m2"], head)]
+    now = {r["key"]: r for r in repo.query(NOTE).results().collect()}["k1"]
+    assert now["tags"] == ["y", "z"] and now["text"] == "other" and repo.merge(NOTE).count() == 0
+
+
 def test_heads_by_stream_equal_those_of_a_batch(spark, tmp_path):
     rng = random.Random(4)
     rows, ids = [], {}
@@ -84,6 +146,49 @@ def test_heads_by_stream_equal_those_of_a_batch(spark, tmp_path):
     assert {(r["key"], r["id"]) for r in state.heads().collect()} == want
 
 
+def test_streaming_state_is_bounded(spark, tmp_path):
+    """Twenty batches of a chain for each key, parents late and commits repeated: the state is that of a week."""
+    state = incremental.HeadTable(spark, f"file://{tmp_path}/heads", keep="7 days")
+    shape = "id string, key string, ts timestamp, parents array<string>, connection string"
+    day = lambda i: F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * i))
+    sizes = []
+    for i in range(20):
+        late = [(f"{k}-{i}", k, [f"{k}-{i - 1}"] if i else [], "A") for k in ("a", "b")]
+        order = late if i % 2 else [(f"{k}-{i}", k, p, c) for _, k, p, c in late]
+        again = [(f"{k}-{i - 1}", k, [f"{k}-{i - 2}"] if i > 1 else [], "A") for k in ("a",)] if i else []
+        rows = spark.createDataFrame([*order, *again], "id string, key string, parents array<string>, connection string")
+        batch = rows.withColumn("ts", F.when(F.col("id").endswith(f"-{i}"), day(i)).otherwise(day(i - 1))).select([c.split()[0] for c in shape.split(", ")])
+        state.update(batch, i)
+        sizes.append(state.state().count())
+        assert {(r["key"], r["id"]) for r in state.heads().collect()} == {(k, f"{k}-{i}") for k in ("a", "b")}
+    assert max(sizes) <= 2 * 9 and sizes[-1] == sizes[-2] and len(state.complete()) == 2
+
+
+def test_parents_may_come_after_their_children(spark, tmp_path):
+    state = incremental.HeadTable(spark, f"file://{tmp_path}/heads")
+    ts = F.timestamp_seconds(F.lit(1_700_000_000))
+    for n, rows in enumerate([[("c", "k", ["b"])], [("b", "k", ["a"])], [("a", "k", [])], [("d", "k", ["c"])]]):
+        batch = spark.createDataFrame(rows, "id string, key string, parents array<string>").withColumns({"ts": ts, "connection": F.lit("A")})
+        state.update(batch, n)
+        state.update(batch, n)  # a batch that is repeated
+        assert [r["id"] for r in state.heads().collect()] == ["d" if n == 3 else "c"]
+
+
+def test_results_are_kept_up_to_date_by_stream(spark, tmp_path):
+    rng = random.Random(5)
+    heads, found = {}, incremental.ResultTable(spark, f"file://{tmp_path}/r", predicate=lambda ctx: F.col("value") > ctx["least"], ctx={"least": 5})
+    before = set()
+    for n in range(4):
+        touched = {rng.randrange(12): rng.randrange(10) for _ in range(6)}
+        heads |= touched
+        df = spark.createDataFrame(list(heads.items()), "key long, value long")
+        delta = {(r["key"], r["change"]) for r in found.update(df, df.where(F.col("key").isin(list(touched))), n).collect()}
+        now = {k for k, v in heads.items() if v > 5}
+        assert {r["key"] for r in found.state().collect()} == now
+        assert delta == {(k, "added") for k in now - before} | {(k, "removed") for k in before - now}
+        before = now
+
+
 def test_query_cache_python_and_comparator(spark, tmp_path):
     items = spark.createDataFrame([(i, i * 7 % 10, i + 1) for i in range(20)], "key long, value long, age long")
     q = query.Query(items, predicate=F.col("value") > 4, name="n")
