@@ -11,11 +11,17 @@ A byte goes if a ``LENGTH``-byte string over it also starts earlier (smaller doc
 3. For those alone the bytes are fetched.  Blocks of whole anchor groups are joined into one text, and breadth-first
    backward extension on its Burrows-Wheeler transform (Beller et al., 2013) sets common-prefix values in increasing
    order; it stops at ``LENGTH``, when the places not yet reached are exactly those of repeated windows.
-4. An anchor with over ``HOT`` different runs isn't put in one block: its windows are hashed (128 bits) and the
-   earliest of each is found by an aggregation with map-side combining.  It is exact and no group is cut.
+4. A group of over ``HOT`` different runs is split before that: windows are parted by where the anchor lies in them,
+   into ever fewer places, and regrouped by all the bytes that windows of such a part have in common.  Equal windows
+   stay together at each level; at the last one, a single place, the common bytes are the whole window.
 
-Defined results: null and empty texts have no bytes; rows that share a doc_id are judged as one document by position
-(neither of two rows at the same start is earlier), so repeated rows get equal results; a null id is the smallest.
+Rows are told apart by their doc_id and 89 bits of hashes of their text, which cost the shuffles nothing: rows that
+agree in both are repeated rows.
+
+Defined results: null and empty texts have no bytes; a very long text is scanned by pieces of 1 MiB that overlap by a
+window, up to Spark's own limit of 2 GiB; rows that share a doc_id are judged as one document by position (neither of
+two rows at the same start is earlier), so repeated rows get equal results; a null id is the smallest; an empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,14 +34,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, durable, release, small_batches, table
+from .common import discard, durable, join_small, release, small_batches, table
 
 LENGTH, K = 100, 32
 HOT = 4000
 BLOCK_BYTES = 1 << 20
 PIECE = (1 << 20) - 4096
 NULL_ID = -(1 << 63)
-POS_BITS = 40
+PLACES = LENGTH - K + 1  # of an anchor in a window
+SHARED = 20_000  # rows of one run that a task joins
+N_BITS, POS_BITS, X_BITS = 7, 31, 25  # of ``at``: windows of a run, its first window, more bits of the text's hash
+KEY = ["doc", "t", "x"]
 
 
 def gram_hashes(raw: np.ndarray, k: int = K) -> np.ndarray:
@@ -70,11 +79,6 @@ def anchor_runs(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def tag_of(raw: bytes) -> int:
-    """Tells texts apart that share a doc_id; 23 bits above a position."""
-    return (xxhash.xxh64_intdigest(raw, 7) & (1 << 23) - 1) << POS_BITS
-
-
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` (symbols 0 to 257) in the order of their first ``depth`` symbols, and their places."""
     n = len(text)
@@ -143,99 +147,161 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH) -> tuple[np.nda
     return string[inside], offset[inside], run[member][inside]
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(doc, t, x, text): what tells rows apart, in the order of the documents."""
+    more = F.shiftrightunsigned(F.xxhash64(F.lit(1), "text"), 64 - X_BITS)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("t"), more.alias("x"), "text")
+
+
+def _start(at: str = "at"):
+    return F.shiftright(at, N_BITS).bitwiseAND((1 << POS_BITS) - 1)
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """(doc, t, x, start, stop) of the runs of rows (doc, t, at)."""
+    stop = _start() + F.col("at").bitwiseAND((1 << N_BITS) - 1) + F.lit(LENGTH - 1)
+    return rows.select("doc", "t", F.shiftright("at", N_BITS + POS_BITS).alias("x"), _start().alias("start"), stop.alias("stop"))
+
+
+def _packed(x: int, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return x << N_BITS + POS_BITS | pos.astype(np.int64) << N_BITS | n.astype(np.int64)
+
+
 def _runs_table(docs: DataFrame) -> DataFrame:
-    """(g, s, doc, pos, n): anchor hash, hash of the run's bytes, document, tagged start and number of windows."""
+    """(g, s, doc, t, at): anchor hash, hash of the run's bytes, text, and where the run lies in it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, s, doc, pos, num = [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = t.encode() if t else b""
+            g, s, which, at = [], [], [], []
+            for i, (x, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                raw = text.encode() if text else b""
                 if len(raw) < LENGTH:
                     continue
                 gram, first, n = anchor_runs(raw)
                 stop = (first + n + LENGTH - 1).tolist()
-                s.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(first.tolist(), stop, strict=True)), np.uint64, len(first)))
+                s.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[u:v]) for u, v in zip(first.tolist(), stop, strict=True)), np.uint64, len(first)))
                 g.append(gram)
-                doc.append(np.full(len(first), d))
-                pos.append(first + tag_of(raw))
-                num.append(n)
+                which.append(np.full(len(first), i))
+                at.append(_packed(x, first, n))
             if g:
-                cols = [np.concatenate(g).view(np.int64), np.concatenate(s).view(np.int64), np.concatenate(doc), np.concatenate(pos), np.concatenate(num).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "s", "doc", "pos", "n"])
+                rows = np.concatenate(which)
+                cols = [np.concatenate(g).view(np.int64), np.concatenate(s).view(np.int64), b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], np.concatenate(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["g", "s", "doc", "t", "at"])
+
+    return docs.mapInArrow(scan, "g long, s long, doc long, t long, at long")
+
 
-    return docs.mapInArrow(scan, "g long, s long, doc long, pos long, n int")
+_RUN = "g long, s long, doc long, t long, at long, run binary"
 
 
 def _fetch(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Bytes of the asked runs: (g, doc, pos, run) for blocks, and (g, doc, pos, w1, w2) for each window of hot anchors."""
+    """The asked runs with their bytes; ``asked`` has a row for each text with a list of (g, s, at)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for d, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = t.encode() if t else b""
-                tag = tag_of(raw)
+            cols: list[list] = [[] for _ in range(6)]
+            for d, t, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = text.encode() if text else b""
                 for r in wanted:
-                    pos = r["pos"] - tag
-                    if not 0 <= pos < 1 << POS_BITS:
-                        continue  # of another text with this id
-                    if not r["hot"]:
-                        rows.append((r["g"], d, r["pos"], raw[pos : pos + r["n"] + LENGTH - 1], None, None))
-                        continue
-                    for i in range(pos, pos + r["n"]):
-                        x = xxhash.xxh3_128_intdigest(raw[i : i + LENGTH])
-                        rows.append((r["g"], d, i + tag, None, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)))
-                    if len(rows) > 50_000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["g", "doc", "pos", "run", "w1", "w2"])
-
-    return docs.join(asked, "doc").select("doc", "text", "wanted").mapInArrow(take, "g long, doc long, pos long, run binary, w1 long, w2 long")
+                    pos = r["at"] >> N_BITS & (1 << POS_BITS) - 1
+                    for c, v in zip(cols, (r["g"], r["s"], d, t, r["at"], raw[pos : pos + (r["at"] & (1 << N_BITS) - 1) + LENGTH - 1]), strict=True):
+                        c.append(v)
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g", "s", "doc", "t", "at", "run"])
+
+    return docs.join(asked, KEY).select("doc", "t", "text", "wanted").mapInArrow(take, _RUN)
+
+
+def split_run(g: int, run: bytes, n: int, level: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(group, hash, first window, windows, bytes) of the parts of a run; places of the anchor are parted 2^level ways."""
+    grams = gram_hashes(np.frombuffer(run, np.uint8)[: PLACES + K - 1])
+    anchor = int(np.flatnonzero(grams == np.uint64(g & (1 << 64) - 1))[0])
+    width = -(-PLACES // (1 << level))
+    least, most = anchor - n + 1, anchor  # places of the anchor in the run's windows
+    for part in range(least // width, most // width + 1):
+        low, high = part * width, part * width + width - 1
+        common = run[anchor - low : anchor - high + LENGTH]
+        first, last = anchor - min(high, most), anchor - max(low, least)
+        own = run[first : last + LENGTH]
+        group = xxhash.xxh3_64_intdigest((g & (1 << 64) - 1).to_bytes(8, "little") + common, part << 3 | level)
+        yield group, xxhash.xxh3_64_intdigest(own), first, last - first + 1, own
+
+
+def _split(rows: DataFrame, level: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        for b in batches:
+            cols: list[list] = [[] for _ in range(7)]
+            for top, d, t, at, raw in zip(*(b.column(c).to_pylist() for c in ("top", "doc", "t", "at", "run")), strict=True):
+                for g, s, first, n, own in split_run(top, raw, at & (1 << N_BITS) - 1, level):
+                    moved = (at >> N_BITS) + first << N_BITS | n
+                    for c, v in zip(cols, (signed(g), signed(s), d, t, moved, own, top), strict=True):
+                        c.append(v)
+            kinds = [*[pa.int64()] * 5, pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["g", "s", "doc", "t", "at", "run", "top"])
+
+    return rows.select("top", "doc", "t", "at", "run").mapInArrow(run, f"{_RUN}, top long")
 
 
 def _expand_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by anchor -> (doc, start, stop) of the repeated windows of each."""
-    held: list[tuple[int, int, bytes]] = []
+    """Runs sorted by anchor -> (doc, t, x, start, stop) of the repeated windows of each."""
+    held: list[tuple[int, int, int, bytes]] = []
     size, group = 0, None
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        string, offset, of = repeated_windows([r[2] for r in rows])
-        doc = np.array([r[0] for r in rows])[string]
-        tagged = np.array([r[1] for r in rows])[string] + offset
-        pos = tagged & (1 << POS_BITS) - 1
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        string, offset, of = repeated_windows([r[3] for r in rows])
+        doc, t, at = (np.array([r[i] for r in rows], dtype=np.int64)[string] for i in range(3))
+        pos, x = (at >> N_BITS & (1 << POS_BITS) - 1) + offset, at >> N_BITS + POS_BITS
         by = np.lexsort((pos, doc, of))
-        doc, tagged, pos, of = doc[by], tagged[by], pos[by], of[by]
+        doc, t, x, pos, of = doc[by], t[by], x[by], pos[by], of[by]
         starts = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
         lead = np.maximum.accumulate(np.where(starts, np.arange(len(of)), 0)) if len(of) else starts.astype(np.int64)
         later = (doc != doc[lead]) | (pos != pos[lead])
-        doc, tagged = doc[later], tagged[later]
-        by = np.lexsort((tagged, doc))
-        doc, tagged = doc[by], tagged[by]
-        cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tagged[1:] > tagged[:-1] + 1))) if len(doc) else np.zeros(0, bool)
+        doc, t, x, pos = doc[later], t[later], x[later], pos[later]
+        by = np.lexsort((pos, x, t, doc))
+        doc, t, x, pos = doc[by], t[by], x[by], pos[by]
+        cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (pos[1:] > pos[:-1] + 1))) if len(doc) else np.zeros(0, bool)
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tagged[first]), pa.array(tagged[last] + LENGTH)], names=["doc", "start", "stop"])
+        cols = [doc[first], t[first], x[first], pos[first], pos[last] + LENGTH]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc", "t", "x", "start", "stop"])
 
     for b in batches:
-        for g, doc, pos, run in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for g, doc, t, at, run in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if g != group and size > BLOCK_BYTES:
                 yield solve(held)
                 held, size = [], 0
             group = g
-            held.append((doc, pos, run))
+            held.append((doc, t, at, run))
             size += len(run) + 1
     if held:
         yield solve(held)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, start, stop), starts tagged: spans that hold only bytes to remove, for docs (doc, text)."""
+_SPAN = "doc long, t long, x long, start long, stop long"
+
+
+def _place(*more: str):
+    return F.struct("doc", _start().alias("pos"), "t", "at", *more)
+
+
+def _copies(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Spans of the runs that aren't the earliest of theirs; a run that very many rows have is dealt over tasks."""
+    shared = first.where(F.col("c") > SHARED).select("g", "s", F.ceil(F.col("c") / SHARED).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = join_small(rows.select("g", "s", "doc", "t", "at"), shared, ["g", "s"], "left").withColumn("__salt", F.pmod(F.xxhash64("doc", "t", "at"), salts).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / SHARED).cast("int") - 1))
+    right = first.select("g", "s", F.col("f.doc").alias("d0"), F.col("f.pos").alias("p0"), every.alias("__salt"))
+    return _spans(left.join(right, ["g", "s", "__salt"]).where((F.col("doc") != F.col("d0")) | (_start() != F.col("p0"))))
+
+
+def _expanded(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("g", "doc", "t", "at", "run").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_expand_blocks, _SPAN)
+
+
+def repeated_spans(docs: DataFrame) -> dict[str, DataFrame]:
+    """(doc, t, x, start, stop) of spans that hold only bytes to remove, for docs (doc, t, x, text), by how they are found."""
     spark = docs.sparkSession
     small_batches(spark)
     runs = durable(_runs_table(docs), "suffix-runs")
@@ -245,28 +311,34 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     several = durable(runs.join(often, "g", "left_semi"), "suffix-several")
     discard(often)
     discard(runs)
-    place = F.struct("doc", F.col("pos").bitwiseAND((1 << POS_BITS) - 1).alias("at"), "pos", "n")
-    first = durable(several.groupBy("g", "s").agg(F.min(place).alias("f")).select("g", "s", F.col("f.doc").alias("d0"), F.col("f.at").alias("p0"), F.col("f.pos").alias("pos0"), F.col("f.n").alias("n0")), "suffix-first")
-    mixed = first.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    asked = first.join(mixed, "g").select(F.col("d0").alias("doc"), F.struct("g", F.col("pos0").alias("pos"), F.col("n0").alias("n"), (F.col("c") > HOT).alias("hot")).alias("w"))
-    asked = durable(asked.groupBy("doc").agg(F.collect_list("w").alias("wanted")), "suffix-asked")
-    fetched = durable(_fetch(asked, docs), "suffix-bytes")
+    first = durable(several.groupBy("g", "s").agg(F.min(_place()).alias("f"), F.count("*").alias("c")), "suffix-first")
+    mixed = first.groupBy("g").agg(F.count("*").alias("of")).where("of > 1")
+    sized = first.select("g", "s", "f.*").join(mixed, "g")
+    asked = sized.groupBy("doc", "t", F.shiftright("at", N_BITS + POS_BITS).alias("x")).agg(F.collect_list(F.struct("g", "s", "at")).alias("wanted"))
+    fetched = durable(_fetch(durable(asked, "suffix-asked"), docs), "suffix-bytes")
     release(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = fetched.where("run is not null").select("g", "doc", "pos", "run").repartition(parts, "g").sortWithinPartitions("g")
-    by_block = blocks.mapInArrow(_expand_blocks, "doc long, start long, stop long")
-    windows = fetched.where("run is null").select("g", "w1", "w2", "doc", "pos", F.col("pos").bitwiseAND((1 << POS_BITS) - 1).alias("at"))
-    earliest = windows.groupBy("g", "w1", "w2").agg(F.min(F.struct("doc", "at")).alias("e"))
-    by_hash = windows.join(earliest, ["g", "w1", "w2"]).where((F.col("doc") != F.col("e.doc")) | (F.col("at") != F.col("e.at"))).select("doc", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"))
-    at = F.col("pos").bitwiseAND((1 << POS_BITS) - 1)
-    copies = several.join(first.select("g", "s", "d0", "p0"), ["g", "s"]).where((F.col("doc") != F.col("d0")) | (at != F.col("p0"))).select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (LENGTH - 1)).alias("stop"))
-    return copies.unionByName(by_block).unionByName(by_hash)
-
-
-def _union(spans: list[dict] | None, tag: int, size: int) -> list[tuple[int, int]]:
-    own = sorted((r["start"] - tag, r["stop"] - tag) for r in spans or [] if 0 <= r["start"] - tag < size)
+    hot = durable(mixed.where(F.col("of") > HOT).select("g"), "suffix-hot")
+    found = {"copies": _copies(several, first)}
+    if hot.isEmpty():
+        return found | {"expansion": _expanded(fetched)}
+    found["expansion"] = _expanded(fetched.join(hot, "g", "left_anti"))
+    rows = fetched.join(hot, "g", "left_semi").withColumn("top", F.col("g"))
+    for level in range(1, (PLACES - 1).bit_length() + 1):
+        parts = durable(_split(rows, level), "suffix-parts")
+        first = durable(parts.groupBy("g", "s").agg(F.min(_place("run", "top")).alias("f"), F.count("*").alias("c")), "suffix-first")
+        found["copies"] = found["copies"].unionByName(_copies(parts, first))
+        sized = durable(first.groupBy("g").agg(F.count("*").alias("of")).where("of > 1"), "suffix-sizes")
+        here = first.select("g", "s", "f.*").join(sized, "g")
+        found["expansion"] = found["expansion"].unionByName(_expanded(here.where(F.col("of") <= HOT)))
+        if sized.where(F.col("of") > HOT).isEmpty():
+            break
+        rows = here.where(F.col("of") > HOT)
+    return found
+
+
+def _union(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in own:
+    for a, b in sorted((r["start"], r["stop"]) for r in spans or []):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -278,8 +350,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kept binary, n_bytes, spans array<(start, stop)>) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    spans = durable(repeated_spans(named).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    named = named_texts(docs)
+    found = repeated_spans(named)
+    spans = durable(found["copies"].unionByName(found["expansion"]).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "suffix-spans")
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +360,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             ids, kept, sizes, gone = [], [], [], []
             for d, t, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = t.encode() if t else b""
-                merged = _union(found, tag_of(raw), len(raw))
+                merged = _union(found)
                 edges = [0, *(x for s in merged for x in s), len(raw)]
                 kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
                 ids.append(None if d == NULL_ID else d)
@@ -296,7 +369,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, kind)], names=["doc_id", "kept", "n_bytes", "spans"])
 
-    return named.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
+    return named.join(spans.hint("shuffle_hash"), KEY, "left").select("doc", "text", "spans").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
 
 
 def op10_frame(docs: DataFrame) -> DataFrame:
