@@ -1,64 +1,73 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words and their stems (first bytes) are hashed to ``BUCKETS`` embeddings, word beside stem, so that forms never seen
-share what is known of their stem.  Filters of widths 1, 2 and 3 run over the whole sequence, each is max-pooled, and
-a dense layer gives a logit.  One embedding dimension starts from how unevenly a bucket's document frequency falls on
-the two labels of the training sample, beyond what chance allows; buckets with enough documents behind them are then
-trained by gradient descent through the pooled maxima.
+A position of the text is a word; its embedding is the sum of those of its own bucket and of the bucket of its stem
+(first bytes), so that forms never seen share what is known of their stem.  Filters over one, two and three words run
+along the whole text, each is max-pooled, and a dense layer gives a logit.  One embedding dimension starts from how
+unevenly a bucket's document frequency falls on the two labels of the training sample, beyond what chance allows, the
+others from noise; buckets with enough documents behind them are trained by gradient descent through the pooled maxima.
 Scores are calibrated (Platt) on a part of the training fold that the weights never saw, weighted back to the label
 ratio of the whole fold; a decision threshold for each language, shrunk toward the global one, is chosen there too.
-Inputs of a score are the words of the text alone.
+Inputs of a score are the words of the text alone.  ``Settings`` were chosen by ``cross_validate`` on the folds 1 to 4.
 
-Training takes at most ``MAX_POSITIVE`` + ``MAX_NEGATIVE`` labelled documents, by hash of their id, and stops adding
-whole documents at ``MAX_WORDS`` words; scoring takes every document and every word.  Convolution of a filter over
-hashed words is a sum of table rows, so a batch is scored by table look-ups.
+Training takes at most ``MAX_POSITIVE`` + ``MAX_NEGATIVE`` labelled documents, by hash of their id, and of those, in the
+order of that hash, as many as hold ``MAX_WORDS`` words; scoring takes every document and every word.
 
-Defined results: a null, empty or wordless text is scored on padding alone; a null doc_id can't be labelled and counts
-as held out; conflicting labels of an id count as toxic; without labels of both kinds every score is 0; an unknown
-language uses the global threshold; repeated rows get a row each.
+Defined results: a null, empty or wordless text is scored on padding alone; a very long text is scored whole, by parts
+of ``PART`` words that overlap by the widest filter; a null doc_id can't be labelled and counts as held out; conflicting
+labels of an id count as toxic; without labels of both kinds every score is 0; an unknown language uses the global
+threshold; repeated rows get a row each; an empty table gives an empty result; extra columns of any name pass through
+``drop_toxic`` unread.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import reserve, small_batches, table
+from .common import small_batches, table
 
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PAD = BUCKETS
 MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS = 2500, 5000, 10_000_000
-EPOCHS, BATCH = 6, 32
-CHANCE = 3.0  # deviations that a bucket's lean must exceed
-SUPPORT = 20  # documents that a bucket needs for its embedding to be trained further
-STEM = 6
+EPOCHS, BATCH, PART = 6, 32, 1 << 18
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_BUCKET: dict[bytes, tuple[int, int]] = {}
+_BUCKET: dict[int, dict[bytes, int]] = {}  # for each length of stem
 
 
-def word_ids(text: str | None) -> np.ndarray:
-    """Two buckets for each word, side by side: its own and that of its first ``STEM`` bytes."""
-    if not text:
-        return np.zeros(0, dtype=np.int32)
-    words = text.encode().translate(_FOLD).split()
+@dataclass(frozen=True)
+class Settings:
+    """What cross-validation chose."""
+
+    chance: float = 2.0  # deviations that a bucket's lean must exceed
+    support: int = 20  # documents that a bucket needs for its embedding to be trained further
+    stem: int = 6  # bytes of a word that make its stem
+    noise: float = 0.02  # deviation of the embeddings of trained buckets that have no lean
+
+
+def word_ids(text: str | None, stem: int = Settings.stem) -> np.ndarray:
+    """(words, 2): the bucket of each word and that of its stem."""
+    words = text.encode().translate(_FOLD).split() if text else []
     if not words:
-        return np.zeros(0, dtype=np.int32)
-    new = set(words).difference(_BUCKET)
-    if len(_BUCKET) + len(new) > 1_000_000:
-        _BUCKET.clear()
+        return np.zeros((0, 2), dtype=np.int32)
+    keyed = _BUCKET.setdefault(stem, {})
+    new = set(words).difference(keyed)
+    if len(keyed) + len(new) > 1_000_000:
+        keyed.clear()
         new = set(words)
-    _BUCKET.update((w, (zlib.crc32(w) & (BUCKETS - 1), zlib.crc32(w[:STEM], 1) & (BUCKETS - 1))) for w in new)
-    return np.array(list(map(_BUCKET.__getitem__, words)), dtype=np.int32).ravel()
+    keyed.update((w, (zlib.crc32(w) & (BUCKETS - 1)) << 32 | zlib.crc32(w[:stem], 1) & (BUCKETS - 1)) for w in new)
+    both = np.fromiter(map(keyed.__getitem__, words), np.int64, len(words))
+    return np.stack((both >> 32, both & (BUCKETS - 1)), axis=1).astype(np.int32)
 
 
 def _lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents in a row, three paddings after each; the first and past-the-last window of each."""
-    pad = np.full(3, PAD, dtype=np.int32)
+    pad = np.full((3, 2), PAD, dtype=np.int32)
     lengths = np.array([len(d) for d in docs])
     ends = np.cumsum(lengths + 3)
     flat = np.concatenate([x for d in docs for x in (d, pad)] + [pad])
@@ -66,13 +75,14 @@ def _lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Model:
-    def __init__(self, seed: int = 5):
+    def __init__(self, settings: Settings | None = None, seed: int = 5):
+        self.settings = settings or Settings()
         rng = np.random.default_rng(seed)
-        self.emb = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
+        self.emb = rng.normal(0, 1, (BUCKETS + 1, DIM)).astype(np.float32)
         self.emb[PAD] = 0
         self.conv = [rng.normal(0, 0.3 / w, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         for c in self.conv:
-            c[0, 0, :2] = (1.0, -1.0)  # two filters of each width start on the informed dimension
+            c[:, 0, :2] = np.array((1.0, -1.0)) / len(c)  # two filters of each width start on the informed dimension
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.dense = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
         self.b, self.scale = 0.0, (1.0, 0.0)
@@ -80,11 +90,11 @@ class Model:
         self.trained = False
 
     def inform(self, docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-        """Set dimension 0; returns which buckets are trained.
+        """Set the embeddings to start from; returns which buckets are trained.
 
         Near copies of a document (equal bottom-8 sketches of its buckets) count once, lest the words of one much
-        copied text look like words of a label.  Buckets whose lean may be chance are silent: a long text has many of
-        them, and a maximum over noise grows with length.
+        copied text look like words of a label.  Buckets of too few documents to be trained are silent unless they
+        lean: a long text has many of them, and a maximum over noise grows with length.
         """
         seen: dict[bytes, set[int]] = {}
         count = np.zeros((2, BUCKETS))
@@ -99,14 +109,15 @@ class Model:
             n[int(label)] += 1
         pool = (count.sum(0) + 0.5) / (sum(n) + 1)
         z = (count[1] / n[1] - count[0] / n[0]) / np.sqrt(pool * (1 - pool) * (1 / n[1] + 1 / n[0]))
-        lean = np.where(count.sum(0) >= 3, np.sign(z) * np.maximum(np.abs(z) - CHANCE, 0) / 5, 0)
+        lean = np.where(count.sum(0) >= 3, np.sign(z) * np.maximum(np.abs(z) - self.settings.chance, 0) / 5, 0)
+        often = count.sum(0) >= self.settings.support
+        self.emb[:BUCKETS] *= np.where(lean != 0, 0.1, np.where(often, self.settings.noise, 0))[:, None]
         self.emb[:BUCKETS, 0] = np.clip(lean, -3, 3)
-        self.emb[:BUCKETS][lean == 0] = 0
-        return np.append((lean != 0) & (count.sum(0) >= SUPPORT), False)
+        return np.append(often & ((lean != 0) | (self.settings.noise > 0)), False)
 
     def _pool(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima (docs, widths * filters) and where their windows start."""
-        x, best, where = self.emb[flat], [], []
+        x, best, where = self.emb[flat].sum(1), [], []
         for w, c, bias in zip(WIDTHS, self.conv, self.bias, strict=True):
             n = len(flat) - w + 1
             out = sum(x[j : j + n] @ c[j] for j in range(w)) + bias
@@ -139,12 +150,14 @@ class Model:
                     g_c = np.zeros_like(c)
                     for j in range(w):
                         ids = flat[a + j]
-                        g_c[j] = np.einsum("bf,bfd->df", g, self.emb[ids])
+                        g_c[j] = np.einsum("bf,bfd->df", g, self.emb[ids].sum(2))
                         g_e = (g[:, :, None] * c[j].T[None]).reshape(-1, DIM)
-                        live = trainable[ids.ravel()] & (np.abs(g.ravel()) > 0)
-                        rows, g_e = ids.ravel()[live], g_e[live]
-                        np.add.at(power, rows, g_e**2)
-                        np.subtract.at(self.emb, rows, (0.02 * g_e / np.sqrt(power[rows])).astype(np.float32))
+                        for part in (0, 1):  # the word's bucket and its stem's get the same gradient
+                            rows = ids[:, :, part].ravel()
+                            live = trainable[rows] & (np.abs(g.ravel()) > 0)
+                            rows, g_live = rows[live], g_e[live]
+                            np.add.at(power, rows, g_live**2)
+                            np.subtract.at(self.emb, rows, (0.02 * g_live / np.sqrt(power[rows])).astype(np.float32))
                     g_conv.append(g_c + 1e-4 * c)
                     g_bias.append(g.sum(0))
                 step += 1
@@ -158,22 +171,48 @@ class Model:
                 self.b -= 0.01 * (b_m / (1 - 0.9**step)) / (np.sqrt(b_v / (1 - 0.999**step)) + 1e-8)
         self.trained = True
 
-    def tables(self) -> list[list[np.ndarray]]:
-        return [[self.emb @ c[j] for j in range(len(c))] for c in self.conv]
-
-    def logits(self, docs: list[np.ndarray], tables: list[list[np.ndarray]]) -> np.ndarray:
-        if not docs:
-            return np.zeros(0)
+    def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
         flat, first, last = _lay_out(docs)
         cuts = np.stack([first, last], axis=1).ravel()
-        pooled = []
-        for w, parts, bias in zip(WIDTHS, tables, self.bias, strict=True):
+        x = self.emb[flat[:, 0]] + self.emb[flat[:, 1]]
+        every = x @ np.concatenate([c[j] for c in self.conv for j in range(len(c))], axis=1)
+        out, at = [], 0
+        for w, bias in zip(WIDTHS, self.bias, strict=True):
             n = len(flat) - w + 1
-            out = parts[0][flat[:n]]
+            sums = every[:n, at : at + FILTERS].copy()
             for j in range(1, w):
-                out += parts[j][flat[j : j + n]]
-            pooled.append(np.maximum.reduceat(out, cuts, axis=0)[::2] + bias)
-        return np.maximum(np.hstack(pooled), 0).astype(float) @ self.dense + self.b
+                sums += every[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
+            at += w * FILTERS
+            out.append(np.maximum.reduceat(sums, cuts, axis=0)[::2] + bias)
+        return np.hstack(out)
+
+    def logits(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Texts go together up to about ``PART`` words; a longer one by parts, whose maxima are combined."""
+        best, held, size = [np.zeros((0, len(WIDTHS) * FILTERS))], [], 0
+        for d in docs:
+            if held and size + len(d) > PART:
+                best.append(self.pooled(held))
+                held, size = [], 0
+            if len(d) > PART:
+                step = PART - max(WIDTHS) + 1
+                parts = [self._inner(d[at : at + PART], at + PART < len(d)) for at in range(0, len(d), step)]
+                best.append(np.max(parts, axis=0)[None])
+                continue
+            held.append(d)
+            size += len(d)
+        if held:
+            best.append(self.pooled(held))
+        return np.maximum(np.concatenate(best), 0).astype(float) @ self.dense + self.b
+
+    def _inner(self, part: np.ndarray, more: bool) -> np.ndarray:
+        """Maxima of a part of a text; where the text goes on, windows that reach past the part are left to the next."""
+        if not more:
+            return self.pooled([part])[0]
+        x, out = self.emb[part].sum(1), []
+        for w, c, bias in zip(WIDTHS, self.conv, self.bias, strict=True):
+            n = len(part) - w + 1
+            out.append(sum(x[j : j + n] @ c[j] for j in range(w)).max(0) + bias)
+        return np.concatenate(out)
 
     def calibrate(self, logits: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list[str | None]) -> None:
         """Platt scaling on weighted rows, then thresholds by language that maximise F1 there."""
@@ -213,34 +252,40 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the documents whose fold isn't 0; the fold 1 only calibrates."""
+def labelled(docs: DataFrame, labels: DataFrame, stem: int = Settings.stem) -> tuple[list[tuple], dict[int, int]]:
+    """(doc_id, word ids, lang, toxic, fold) of the sample whose fold isn't 0, and how many documents have each label."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0).cache()
     total = {int(r["toxic"] > 0): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = [known.where(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for cond, n in (("toxic > 0", MAX_POSITIVE), ("toxic <= 0", MAX_NEGATIVE))]
-    chosen = F.broadcast(pick[0].unionByName(pick[1]).select(F.col("doc_id").alias("__i"), "toxic", fold().alias("__f")))  # bounded by the two limits
+    chosen = F.broadcast(pick[0].unionByName(pick[1]).select(F.col("doc_id").alias("__i"), "toxic", fold().alias("__f"), F.xxhash64("doc_id").alias("__h")))  # bounded by the two limits
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", lang.alias("__l")).join(chosen, F.col("doc_id") == F.col("__i")).select("doc_id", "text", "__l", "toxic", "__f")
+    rows = docs.select("doc_id", "text", lang.alias("__l")).join(chosen, F.col("doc_id") == F.col("__i"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = pa.array([word_ids(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, b.column("__l"), b.column("toxic"), b.column("__f")], names=["doc_id", "ids", "lang", "toxic", "f"])
-
-    got, words = [], 0
-    sample = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__l", F.col("toxic").cast("int").alias("toxic"), F.col("__f").cast("int").alias("__f"))
-    for r in sample.mapInArrow(encode, "doc_id long, ids binary, lang string, toxic int, f int").toLocalIterator():
-        ids = np.frombuffer(bytes(r["ids"]), dtype=np.int32)
-        words += len(ids) // 2
-        if words > MAX_WORDS:
-            break
-        got.append((r["doc_id"], ids, r["lang"], int(r["toxic"] > 0), r["f"]))
+            ids = [word_ids(t, stem) for t in b.column("text").to_pylist()]
+            cols = [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, b.column("__l"), b.column("toxic"), b.column("__f"), b.column("__h")], names=["doc_id", "ids", "n", "lang", "toxic", "f", "h"])
+
+    sample = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__l", F.col("toxic").cast("int").alias("toxic"), F.col("__f").cast("int").alias("__f"), "__h")
+    coded = sample.mapInArrow(encode, "doc_id long, ids binary, n long, lang string, toxic int, f int, h long").cache()
+    # the words are counted before any of them is fetched: an id's texts may be many and long
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in coded.select("h", "doc_id", "n").toLocalIterator())
+    words = np.cumsum([n for *_, n in sizes])
+    past = [h for (h, *_), w in zip(sizes, words, strict=True) if w > MAX_WORDS]
+    fits = coded if not past else coded.where(F.col("h") < past[0])
+    got = [(r["doc_id"], np.frombuffer(bytes(r["ids"]), dtype=np.int32).reshape(-1, 2), r["lang"], int(r["toxic"] > 0), r["f"]) for r in fits.toLocalIterator()]
+    coded.unpersist()
     known.unpersist()
-    got.sort(key=lambda r: (r[0], len(r[1])))
-    model = Model()
-    fit, held = [r for r in got if r[4] != 1], [r for r in got if r[4] == 1]
+    return sorted(got, key=lambda r: (r[0], len(r[1]), r[1].tobytes())), total
+
+
+def fitted(got: list[tuple], total: dict[int, int], settings: Settings | None = None, held_fold: int = 1) -> Model:
+    """Weights from all folds but one, which calibrates."""
+    model = Model(settings)
+    fit, held = [r for r in got if r[4] != held_fold], [r for r in got if r[4] == held_fold]
     y = np.array([r[3] for r in fit])
     if len(set(y.tolist())) < 2:
         return model
@@ -249,10 +294,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         held = fit
     seen = {k: sum(r[3] == k for r in got) for k in (0, 1)}
     weight = np.array([total.get(r[3], 1) / seen[r[3]] for r in held])
-    model.calibrate(model.logits([r[1] for r in held], model.tables()), np.array([r[3] for r in held]), weight / weight.mean(), [r[2] for r in held])
+    model.calibrate(model.logits([r[1] for r in held]), np.array([r[3] for r in held]), weight / weight.mean(), [r[2] for r in held])
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """Fit on the documents whose fold isn't 0; the fold 1 only calibrates."""
+    return fitted(*labelled(docs, labels, (settings or Settings()).stem), settings)
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, settings: Settings) -> list[tuple[int, float]]:
+    """(label, score) of each document of the folds 1 to 4, from a model that never saw its fold."""
+    got, total = labelled(docs, labels, settings.stem)
+    out: list[tuple[int, float]] = []
+    for f in (1, 2, 3, 4):
+        model = fitted([r for r in got if r[4] != f], total, settings, held_fold=f % 4 + 1)
+        rows = [r for r in got if r[4] == f]
+        out += zip([r[3] for r in rows], model.probability(model.logits([r[1] for r in rows])).tolist(), strict=True)
+    return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, score) for each row of docs (doc_id, text, lang where there is one)."""
     spark = docs.sparkSession
@@ -261,9 +322,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        tables = m.tables()
         for b in batches:
-            p = m.probability(m.logits([word_ids(t) for t in b.column("text").to_pylist()], tables))
+            p = m.probability(m.logits([word_ids(t, m.settings.stem) for t in b.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(p)], names=["doc_id", "lang", "score"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -281,7 +341,6 @@ def flagged(model: Model):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't flag; the text is read, scored and passed on in one scan."""
-    reserve(docs, "__text", "__score")
     spark = docs.sparkSession
     model = train(docs, labels)
     small_batches(spark)
@@ -290,9 +349,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        tables = m.tables()
         for b in batches:
-            p = m.probability(m.logits([word_ids(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], tables))
+            p = m.probability(m.logits([word_ids(t, m.settings.stem) for t in b.column(b.schema.get_field_index("text")).to_pylist()]))
             langs = b.column(b.schema.get_field_index("lang")).to_pylist() if has_lang else [None] * b.num_rows
             cut = np.array([m.thresholds.get(x, m.thresholds[None]) for x in langs])
             yield b.filter(pa.array(p < cut))

@@ -279,13 +279,32 @@ def test_toxicity_held_out(spark):
     assert 2 * hits / max(1, sum(s >= 0.5 for s, _ in held) + sum(y for _, y in held)) > 0.7
 
 
+def test_forward_pass_against_plain_python(monkeypatch):
+    """Embeddings of word and stem are summed, filters run over words, and maxima make the logit; long texts whole."""
+    rng = random.Random(3)
+    model = toxicity.Model(toxicity.Settings(noise=1.0))
+    model.bias = [np.full(toxicity.FILTERS, 0.1 * i, np.float32) for i in range(3)]
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(50)]
+    texts = ["", "one", "two words", None, *(" ".join(rng.choices(vocab, k=rng.randint(1, 90))) for _ in range(12))]
+    monkeypatch.setattr(toxicity, "PART", 24)  # so that texts of 25 words and more go by parts
+    got = model.logits([toxicity.word_ids(t) for t in texts])
+    for text, logit in zip(texts, got, strict=True):
+        words = (text or "").encode().split()
+        rows = [model.emb[zlib.crc32(w) & 0xFFFF] + model.emb[zlib.crc32(w[:6], 1) & 0xFFFF] for w in words] + [np.zeros(toxicity.DIM)] * 3
+        out = 0.0
+        for k, width in enumerate(toxicity.WIDTHS):
+            best = np.max([sum(rows[i + j] @ model.conv[k][j] for j in range(width)) for i in range(len(words) + 1)], axis=0) + model.bias[k]
+            out += np.maximum(best, 0) @ model.dense[k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS]
+        assert abs(out - logit) < 1e-3
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1), (11, 0, 1), (8, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     docs = brute.documents(spark)
     assert toxicity.score(docs, toxicity.train(docs, labels)).count() == len(brute.ROWS)
     none = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
-    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(brute.ROWS)
+    assert toxicity.drop_toxic(docs.withColumns({"__text": F.lit(1), "score": F.lit(2)}), labels.limit(0)).count() == len(brute.ROWS)
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
     assert toxicity.score(docs.drop("lang"), none).count() == len(brute.ROWS)
 
