@@ -42,7 +42,7 @@ BASE = int(2 * REACH / WIDTH) + 2  # cells of a projection at most
 SAMPLE, SAMPLE_QUERIES = 4096, 200
 HASHES, TABLES, PROBES = (4, 6, 8, 12, 16), (1, 2, 4), (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 PROBE_COST = 0.25  # members that could be compared for the price of a probe
-CHUNK, QUERY_CHUNK = 8192, 8192
+CHUNK, QUERY_CHUNK = 2048, 8192
 WANTED = 0.94
 _GRID = np.linspace(-8, 8, 16_001)
 _PHI = np.array([0.5 * (1 + erf(x / 2**0.5)) for x in _GRID])
@@ -262,7 +262,7 @@ def _compare(visits: DataFrame, index: DataFrame, k: int, every: bool) -> DataFr
     keys = ["dim", "tab", "grp"]
     sizes = index.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("__chunks"))
     asked = visits.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("__parts"))
-    layout = durable(sizes.join(asked, keys), "ann-layout")  # a row for each group
+    layout = sizes.join(asked, keys)  # a row for each group
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     both = [*keys, "__chunk", "__part"]
@@ -276,7 +276,7 @@ def _compare(visits: DataFrame, index: DataFrame, k: int, every: bool) -> DataFr
 def neighbours(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of (vec_id, embedding) for which ``is_query`` (of vec_id) holds."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    small_batches(spark)
     base = durable(valid_vectors(vectors), "ann-vectors")
     kind = base.schema["v"].dataType.simpleString()
     first = F.row_number().over(W.partitionBy("c1", "c2").orderBy("vec_id", "row"))
