@@ -3,15 +3,17 @@
 Messages are nodes with a parent.  Iterative self-joins by pointer doubling give every node its root and the score of
 its path in log2(depth) rounds; leaves are ranked within a root by path score (ties: smaller node), and the nodes of
 each chosen root-to-leaf path are enumerated by the same jumps, so only chosen paths are ever expanded.  Joins are on
-the unique node id, never on the conversation.  One conversation becomes one output row, which holds its whole text.
+the unique node id, never on the conversation.  One conversation becomes one output row, which holds its whole text;
+``linear_tree``, which links turns in order, sorts the turns of one conversation in one task, without their texts.
 
 Template: ``### Role: text</turn>\\n`` for each turn.  Inside texts a backslash becomes ``\\b``, ``### `` becomes
 ``\\h## `` and ``</turn>`` becomes ``\\l/turn>``: every backslash starts an escape, so three plain replacements read
 it back.  ``loss_mask`` has an element for each turn, true for assistant turns: the text of the turn, without markers.
 
 Defined results: null text and null role are empty; a null conversation id is a conversation of its own; turns that
-tie are ordered by role, then by a digest of the text, and repeated rows all stay; a parent that doesn't exist makes
-its child a root; messages on a cycle have no root and are left out; an empty table gives an empty result.
+tie are ordered by role, then by the md5 of the text, and repeated rows all stay; very long texts are formatted whole, up
+to Spark's limit of 2 GiB a row; a parent that doesn't exist makes its child a root; messages on a cycle have no root and
+are left out; an empty table gives an empty result; extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def read_back(chats: DataFrame) -> DataFrame:
 def linear_tree(conversations: DataFrame) -> DataFrame:
     """Conversations by turn as reply trees: each message answers the one before it."""
     rows = durable(conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("node")), "chat-rows")
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.xxhash64("text"), "node")
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")), "node")
     links = rows.select("node", F.lag("node").over(order).alias("parent"), F.lit(0.0).alias("score"))
     return rows, links
 
@@ -121,9 +123,9 @@ OP4_SQL = rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')
 select conv_id::bigint as conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn nulls first, role, md5(t))) as turns_sha256,
   coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(t, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, role, md5(t)) filter (role = 'assistant'), '')) as loss_sha256,
   sum(4 + length(role) + case when role in ('user', 'assistant', 'system') then 0 else 1 end + 2 + length({_ESC}) + 8)::bigint as formatted_chars
 from c group by conv_id
 """
