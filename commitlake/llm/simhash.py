@@ -10,8 +10,10 @@ differ in at most 2 bits, y reaches the home of x, so one equi-join on the ancho
 The pipeline's stage ``near_dedup`` has its own rule, Jaccard similarity of 5-word shingle sets: prefix filtering
 (Chaudhuri et al., 2006) finds every pair that can reach it, and the exact similarity decides.
 
-Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; repeated rows get
-a row each; a null doc_id is never a component id unless no id of its group is known (then null).
+Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a very long text is
+hashed whole, its bits counted by pieces of 65,536 shingles; repeated rows get a row each; a null doc_id is never a
+component id unless no id of its group is known (then null); an empty table gives an empty result; extra columns are not
+read, and pass through ``near_dedup`` but for ``__row``, which is refused.
 """
 
 from __future__ import annotations
