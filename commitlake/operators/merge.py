@@ -22,10 +22,10 @@ def merge_records(leaves: DataFrame, base: DataFrame, fields: dict[str, str], ke
     for n, kind in fields.items():
         v, old = F.col(n), F.col(f"_b_{n}")
         if kind == "set":
-            aggs += [F.first(old).alias(f"_0_{n}"), F.array_distinct(F.flatten(F.collect_list(F.array_except(_set(old), _set(v))))).alias(f"_1_{n}"), F.array_distinct(F.flatten(F.collect_list(F.array_except(_set(v), _set(old))))).alias(f"_2_{n}")]
+            aggs += [F.first(old).alias(f"_0_{n}"), F.array_distinct(F.flatten(F.collect_set(F.array_except(_set(old), _set(v))))).alias(f"_1_{n}"), F.array_distinct(F.flatten(F.collect_set(F.array_except(_set(v), _set(old))))).alias(f"_2_{n}")]  # equal changes meet before the shuffle
         elif kind == "map":
             put, gone = _entries(v, old, rank)
-            aggs += [F.any_value(_map(old)).alias(f"_0_{n}"), F.array_distinct(F.flatten(F.collect_list(gone))).alias(f"_1_{n}"), F.array_sort(F.flatten(F.collect_list(put))).alias(f"_2_{n}")]
+            aggs += [F.any_value(_map(old)).alias(f"_0_{n}"), F.array_distinct(F.flatten(F.collect_set(gone))).alias(f"_1_{n}"), F.array_sort(F.flatten(F.collect_list(put))).alias(f"_2_{n}")]
         else:
             changed = ~v.eqNullSafe(old)
             aggs += [F.first(old).alias(f"_0_{n}"), F.max(F.when(changed & v.isNotNull(), F.struct(rank.alias("r"), v.alias("v")))).alias(f"_2_{n}"), F.bool_or(changed & v.isNull()).alias(f"_1_{n}")]

@@ -340,6 +340,8 @@ def test_bloom_filter_bounds(spark):
     assert sync.may_contain(known, "v", f).count() == 1000
     assert sync.may_contain(ids.where("id >= 1000"), "v", f).count() <= 0.02 * 10_000
     assert 0.3 < sync.fill_rate(f) < 0.7 and sync.encode(f).agg(F.sum(F.bitmap_count("bitmap"))).first()[0] == f.bits.count()
+    again = sync.decode(sync.encode(f), f.m, f.k, f.seed)
+    assert again.bits.count() == f.bits.count() and again.bits.join(f.bits, "bit", "left_anti").isEmpty()
 
 
 def test_ancestors_of_a_long_history(spark):
