@@ -32,6 +32,12 @@ class Engine:
         q = Query(source, **config)
         return self._queries.setdefault(q.id, (q.name, q))[1]
 
+    def holding(self, key: str) -> DataFrame:
+        """(repo): the repositories with a commit of a key, in one scan of all logs."""
+        lines = self.spark.read.text(f"{self.path}/*/*.jsonl").select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("j"))
+        name = F.regexp_extract("file", r"([^/]+/[^/]+)\.jsonl(/|$)", 1)
+        return lines.where(F.try_variant_get("j", "$.k", "string") == key).select(name.alias("repo")).distinct()
+
     def forget(self, name: str) -> None:
         self._queries = {i: (n, q) for i, (n, q) in self._queries.items() if n != name}
 

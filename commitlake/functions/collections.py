@@ -50,6 +50,38 @@ def toggle(a: str | Column, value: Column) -> Column:
     return F.array_sort(F.when(F.array_contains(col(a), value), F.array_remove(col(a), value)).otherwise(F.array_union(col(a), F.array(value))))
 
 
+# sets of structured values: members are equal if their canonical JSON is
+
+
+def by_value(a: str | Column) -> Column:
+    """An array of JSON texts as a set of canonical ones."""
+    return F.array_sort(F.array_distinct(F.transform(col(a), lambda x: F.to_json(F.try_parse_json(x)))))
+
+
+def has_by_value(a: str | Column, value: str | Column) -> Column:
+    return F.array_contains(by_value(a), canonical(value))
+
+
+def add_by_value(a: str | Column, value: str | Column) -> Column:
+    return union(by_value(a), F.array(canonical(value)))
+
+
+def delete_by_value(a: str | Column, value: str | Column) -> Column:
+    return F.array_remove(by_value(a), canonical(value))
+
+
+def union_by_value(a: str | Column, b: str | Column) -> Column:
+    return union(by_value(a), by_value(b))
+
+
+def subtract_by_value(a: str | Column, b: str | Column) -> Column:
+    return subtract(by_value(a), by_value(b))
+
+
+def equal_by_value(a: str | Column, b: str | Column) -> Column:
+    return by_value(a) == by_value(b)
+
+
 def has_duplicates(a: str | Column) -> Column:
     return F.size(F.array_distinct(col(a))) < F.size(col(a))
 

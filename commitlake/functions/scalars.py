@@ -154,9 +154,51 @@ def reverse_timestamp(x: str | Column) -> Column:
     return F.lit(MAX_TIMESTAMP) - col(x)
 
 
+# units of time in milliseconds
+
+SECOND, MINUTE, HOUR, DAY = 1000, 60_000, 3_600_000, 86_400_000
+
+
+def in_milliseconds(x: str | Column, unit: int) -> Column:
+    return (col(x) * unit).cast("double")
+
+
+# base 32 in lower case for addresses, the padding's first sign as an underscore
+
+_DIGITS, _LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "abcdefghijklmnopqrstuvwxyz234567"
+
+
+def encode_base32(value: str | Column) -> Column:
+    """Five bytes are eight digits: blocks of ten hexadecimal digits go through base 32."""
+    raw = F.hex(col(value).cast("binary"))
+    n = F.length(raw) / 2
+    blocks = F.ceil(n / 5).cast("int")
+    padded = F.rpad(raw, blocks * 10, "0")
+    at = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+    digits = F.array_join(F.transform(at, lambda i: F.lpad(F.conv(F.substring(padded, i * 10 + 1, F.lit(10)), 16, 32), 8, "0")), "")
+    kept = F.translate(F.substring(digits, F.lit(1), F.ceil(n * 8 / 5).cast("int")), _DIGITS, _LETTERS)
+    return F.regexp_replace(F.rpad(kept, blocks * 8, "="), "^([^=]*)=", "$1_")
+
+
+def decode_base32(value: str | Column) -> Column:
+    """The bytes of ``encode_base32``."""
+    bare = F.regexp_replace(F.lower(col(value)), "[_=]", "")
+    n = F.floor(F.length(bare) * 5 / 8).cast("int")
+    blocks = F.ceil(F.length(bare) / 8).cast("int")
+    padded = F.rpad(F.translate(bare, _LETTERS, _DIGITS), blocks * 8, "0")
+    at = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+    digits = F.array_join(F.transform(at, lambda i: F.lpad(F.conv(F.substring(padded, i * 8 + 1, F.lit(8)), 32, 16), 10, "0")), "")
+    return F.unhex(F.substring(digits, F.lit(1), n * 2))
+
+
 # numbers
 
 
+def random_int(low: int, high: int, seed: int | None = None) -> Column:
+    """A whole number from ``low`` up to, and without, ``high``."""
+    return (F.floor(F.rand(seed) * (high - low)) + low).cast("bigint")
+
+
 def clip(x: str | Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x)))
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 
+QUANTILES = (0.5, 0.9, 0.99)
+
+
 def activity(events: DataFrame, now: Column, user: str = "user_id", ts: str = "ts", excluded: DataFrame | None = None) -> DataFrame:
     """(dau, wau, mau, scan_size): distinct users of the last 1, 7 and 30 days.
 
@@ -19,7 +22,7 @@ def activity(events: DataFrame, now: Column, user: str = "user_id", ts: str = "t
 
 def metric_rollup(metrics: DataFrame, by: list[str], value: str, ts: str) -> DataFrame:
     """Counter, gauge, histogram and summary figures of each metric."""
-    q = F.percentile_approx(value, [0.5, 0.9, 0.99], 10_000)
+    q = F.percentile_approx(value, list(QUANTILES), 10_000)
     return metrics.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max_by(value, ts).alias("latest"), F.min(value).alias("low"), F.max(value).alias("high"), q.alias("quantiles"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import collections as c, scalars as s
-from ..operators import authz, stats
+from ..operators import authz, mutations as mut, stats, sync
 from .item_queries import table
 from .registry import query
 
@@ -144,3 +144,60 @@ def authz_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaces = o.where("o_orderkey % 10 <> 9").select(ws.alias("workspace"), member.alias("users"))
     users = cust.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user"), F.when(F.col("c_mktsegment") == "BUILDING", "op@example.com").otherwise("no@example.com").alias("email"), F.array().cast("array<string>").alias("permissions"))
     return authz.workspace_allows(asked, spaces, users, ["op@example.com"]).select("o_orderkey", "allowed")
+
+
+@query("""with h as (select c_custkey, c_name, hex(encode(c_name)) as h, length(c_name) as n from customer),
+b as (select c_custkey, c_name, n, rpad(h, (ceil(n / 5) * 10)::int, '0') as h from h),
+d as (select c_custkey, c_name, n, array_to_string(list_transform(range(0, ceil(n / 5)::bigint), lambda i: to_base(('0x' || substr(h, (i * 10 + 1)::bigint, 10))::bigint, 32, 8)), '') as t from b)
+select c_custkey, regexp_replace(rpad(translate(left(t, ceil(n * 8 / 5)::bigint), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'abcdefghijklmnopqrstuvwxyz234567'), (ceil(n / 5) * 8)::int, '='), '=', '_') as coded, c_name as back from d""")
+def base32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "customer").select("c_custkey", s.encode_base32("c_name").alias("coded"))
+    return t.withColumn("back", s.decode_base32("coded").cast("string"))
+
+
+@query("""with e as (select user_id, event_id, event_type as field, event_id % 3 <> 0 as local, event_id::varchar as old from events),
+f as (select user_id, field, min(event_id) as seq, arg_min(local, event_id) as local, arg_min(old, event_id) as old from e group by user_id, field)
+select user_id, count(*)::int as n, arg_min(field, seq) as first_field, arg_min(old, seq) as first_old, bool_or(not local) as remote, bool_or(field = 'purchase') as bought,
+  coalesce(string_agg(field, ',' order by seq) filter (field <> 'view'), '') as rest from f group by user_id""")
+def mutation_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first mutation of each field of a user, where events stand for mutations."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("field"), (F.col("event_id") % 3 != 0).alias("local"), F.col("event_id").cast("string").alias("old"))
+    packs = mut.collect(ev, "user_id", "event_id")
+    view = F.array(mut.mutation("view", F.lit(True), F.lit("")))
+    rest = mut.subtract_fields("pack", view)
+    return packs.select("user_id", mut.length("pack").alias("n"), mut.at("pack", 0)["field"].alias("first_field"), mut.at("pack", 0)["old"].alias("first_old"), mut.has_remote("pack").alias("remote"), mut.has_field("pack", "purchase").alias("bought"), F.array_join(F.transform(rest, lambda m: m["field"]), ",").alias("rest"))
+
+
+@query("""with a as (select c_custkey, c_nationkey % 3 as x, c_custkey % 2 as y from customer)
+select c_custkey, x = 1 and y = 0 as has, case when x = 1 and y = 0 then 2 else 3 end as added, case when x = 1 and y = 0 then 1 else 2 end as deleted, x = 1 and y = 0 as same from a""")
+def sets_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of objects, whose members are equal whatever the order of their keys."""
+    x, y = (F.col("c_nationkey") % 3).cast("string"), (F.col("c_custkey") % 2).cast("string")
+    one = F.concat(F.lit('{"x": '), x, F.lit(', "y": '), y, F.lit("}"))
+    turned = F.concat(F.lit('{"y":'), y, F.lit(',"x":'), x, F.lit("}"))
+    t = table(spark, sf_dir, "customer").select("c_custkey", F.array(one, turned, F.lit("7")).alias("a"))
+    probe, other = F.lit('{ "y" : 0, "x" : 1 }'), F.array(F.lit("7"), F.lit('{"x":1,"y":0}'))
+    return t.select("c_custkey", c.has_by_value("a", probe).alias("has"), F.size(c.add_by_value("a", probe)).alias("added"), F.size(c.delete_by_value("a", probe)).alias("deleted"), c.equal_by_value("a", other).alias("same"))
+
+
+@query("""with v as (select event_type, value from events where value is not null),
+q as (select event_type, p, value, cume_dist() over (partition by event_type order by value) as share from v, (values (0.5), (0.9), (0.99)) t(p))
+select event_type, p::double as p, min(value) as quantile from q where share >= p group by event_type, p""")
+def metric_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = stats.metric_rollup(table(spark, sf_dir, "events"), ["event_type"], "value", "event_id")
+    ps = F.array(*[F.lit(float(p)) for p in stats.QUANTILES])
+    return rolled.select("event_type", F.explode(F.arrays_zip(ps.alias("p"), "quantiles")).alias("z")).select("event_type", F.col("z.p").alias("p"), F.col("z.quantiles").alias("quantile"))
+
+
+@query("""with a as (select c_custkey as id from customer where c_custkey % 5 = 0), b as (select c_custkey as id from customer where c_custkey % 5 <> 0),
+n as (select count(*)::double as n from a), d as (select greatest(8, ceil(n * ln(0.05) / ln(1 / pow(2, ln(2)))))::bigint as m, n from n), s as (select m, greatest(1, ceil(m / n * ln(2)))::bigint as k from d),
+bits as (select distinct ('0x' || substr(md5('3.' || i::varchar || '|' || id::varchar), 1, 15))::bigint % m as bit from a, s, range(0, 64) t(i) where i < k),
+miss as (select distinct b.id from b, s, range(0, 64) t(i) where i < k and ('0x' || substr(md5('3.' || i::varchar || '|' || b.id::varchar), 1, 15))::bigint % m not in (select bit from bits))
+select (select count(*) from b) as tested, (select count(*) from b) - (select count(*) from miss) as passed""")
+def bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the keys that aren't in a filter pass it."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    known, others = keys.where("id % 5 = 0"), keys.where("id % 5 <> 0")
+    f = sync.build(known, "id", known.count(), 0.05, 3)
+    passed = sync.may_contain(others, "id", f).withColumn("hit", F.lit(1))
+    return others.join(passed, "id", "left").agg(F.count("*").alias("tested"), F.count("hit").alias("passed"))

@@ -90,6 +90,21 @@ def to_json_lines(commits: DataFrame) -> DataFrame:
     return commits.select(F.to_json(F.struct(*known, body.alias("c"))).alias("value"))
 
 
+def accepted(commits: DataFrame, existing: DataFrame | None, org: str, namespaces: list[str] | None = None, trusted: DataFrame | None = None) -> DataFrame:
+    """Commits that a repository takes in: new ids of its organisation, in allowed namespaces, by trusted sessions.
+
+    A full commit needs a scheme; a delta without one is of its base's, which was tested when it came.
+    """
+    ns = F.col("scheme_ns")
+    fit = (F.col("org").isNull() | (F.col("org") == org)) & (F.col("base").isNotNull() | ns.isNotNull())
+    if namespaces is not None:
+        fit = fit & (ns.isNull() | ns.isin(namespaces))
+    out = commits.where(fit).dropDuplicates(["id"])
+    if trusted is not None:
+        out = out.join(trusted.select("session").distinct(), "session", "left_semi").select(commits.columns)
+    return out if existing is None else out.join(existing.select("id"), "id", "left_anti").select(commits.columns)
+
+
 def append_log(commits: DataFrame, existing: DataFrame | None, path: str) -> None:
     """Append commits whose id the log doesn't hold yet."""
     fresh = commits if existing is None else commits.join(existing.select("id"), "id", "left_anti")

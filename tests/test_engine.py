@@ -352,3 +352,36 @@ def test_ancestors_of_a_long_history(spark):
     assert sorted((r["depth"], r["anc"]) for r in got) == [(d, str(1299 - d)) for d in range(1, 1300)]
     pairs = spark.createDataFrame([("1299", "x")], "a string, b string")
     assert [tuple(r) for r in graph.lca_pairs(log, pairs, span=128).collect()] == [("1299", "x", "0")]
+
+
+def test_mutation_packs(spark):
+    from commitlake.operators import mutations as m
+
+    pack = lambda *rows: F.array(*[m.mutation(f, F.lit(loc), F.lit(old)) for f, loc, old in rows])
+    a, b = pack(("x", True, "1"), ("y", True, "2")), pack(("x", False, "9"), ("z", True, None))
+    one = spark.range(1).select(m.append(a, b).alias("ab"), m.append(F.lit(None).cast(m.PACK), b).alias("b"), F.lit(None).cast(m.PACK).alias("none"))
+    got = one.select("ab", m.length("none").alias("n0"), m.has_remote("ab").alias("r"), m.has_remote("b").alias("rb"), m.has_only_local("none").alias("l"), m.without_first("b").alias("w"), m.at("b", 5).alias("a5"), m.subtract_fields("ab", "b").alias("s"), m.has_field("ab", "q", "z").alias("f")).first()
+    assert [tuple(x) for x in got["ab"]] == [("x", True, "1"), ("y", True, "2"), ("z", True, None)]
+    assert (got["n0"], got["r"], got["rb"], got["l"], got["a5"], got["f"]) == (0, False, True, True, None, True)
+    assert [x["field"] for x in got["w"]] == ["z"] and [x["field"] for x in got["s"]] == ["y"]
+
+
+def test_what_a_repository_takes_in(spark, tmp_path):
+    rows = [("a", "o", "note", None, "s"), ("a", "o", "note", None, "s"), ("b", "other", "note", None, "s"), ("c", None, None, None, "s"), ("d", None, None, "a", "s"), ("e", None, "task", None, "s"), ("f", None, "note", None, "x"), ("g", None, "note", None, "s")]
+    commits = spark.createDataFrame(rows, "id string, org string, scheme_ns string, base string, session string")
+    trusted, known = spark.createDataFrame([("s",)], "session string"), commits.where("id = 'g'")
+    got = log.accepted(commits, known, "o", ["note"], trusted)
+    assert sorted(r["id"] for r in got.collect()) == ["a", "d"]
+    engine = Engine(spark, str(tmp_path))
+    for name, key in (("one", "k"), ("two", "k"), ("three", "other")):
+        engine.repo(f"data/{name}").create(spark.createDataFrame([(key, "t")], "key string, text string"), NOTE)
+    assert sorted(r["repo"] for r in engine.holding("k").collect()) == ["data/one", "data/two"]
+
+
+def test_base32_round_trip(spark):
+    import base64
+
+    words = ["", "a", "ab", "abc", "abcd", "abcde", "Zażółć gęślą", "x" * 33]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", scalars.encode_base32("w").alias("c"), scalars.decode_base32(scalars.encode_base32("w")).cast("string").alias("b"))
+    for r in df.collect():
+        assert r["c"] == base64.b32encode(r["w"].encode()).decode().replace("=", "_", 1).lower() and r["b"] == r["w"]
