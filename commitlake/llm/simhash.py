@@ -19,18 +19,20 @@ read, and pass through ``near_dedup`` but for ``__row``, which is refused.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import connected_components, discard, durable, reserve, small_batches, table
+from .common import connected_components, discard, durable, release, reserve, small_batches, table
 
 THRESHOLD = 2
 SHINGLE = 3
 NEAR_SHINGLE, NEAR = 5, (4, 5)  # words of a shingle, and Jaccard similarity as a fraction, of the pipeline's stage
 ORDER_SAMPLE, ORDER_TERMS = 8_000, 500_000
+PASSES = 4  # parts of all keys that are shuffled one after another, which bounds the disk that lists take
 BLOCKS = (0, 23)  # where each Golay block starts
 BLOCK_BITS = 23
 _GOLAY = 0b101011100011  # generator polynomial of the perfect [23,12] code
@@ -218,9 +220,16 @@ def _similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): the pairs of rows whose shingle sets have a Jaccard similarity of ``NEAR`` or more."""
     asked = pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct()
     sets = durable(rows.select("__row", "text").join(asked, "__row", "left_semi").mapInArrow(_set_batches, "node long, h array<long>"), "near-sets")
-    wide = pairs.join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
+    release(rows.sparkSession)
     both = F.size(F.array_intersect("ha", "hb"))
-    links = durable(wide.where(both * (NEAR[0] + NEAR[1]) >= (F.size("ha") + F.size("hb")) * NEAR[0]).select("a", "b"), "near-links")
+    found = []
+    for k in range(PASSES):  # pairs carry sets, so they too go one part after another
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(PASSES)) == k
+        left = sets.where(own("node")).select(F.col("node").alias("a"), F.col("h").alias("ha"))
+        wide = pairs.where(own("a")).join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b").join(left, "a")
+        found.append(durable(wide.where(both * (NEAR[0] + NEAR[1]) >= (F.size("ha") + F.size("hb")) * NEAR[0]).select("a", "b"), "near-links"))
+        release(rows.sparkSession)
+    links = reduce(DataFrame.unionByName, found)
     discard(sets)
     return links
 
@@ -236,8 +245,13 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
     nodes = durable(marked.groupBy("d1", "d2").agg(F.min("row").alias("node"), low).select("node", "low"), "near-nodes")
     lists = marked.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n")
-    first = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("__c")).where("__c > 1").select("key", "first")
-    lists = durable(lists.join(first, "key").select("key", "node", "n", "first"), "near-lists")
+    listed = []
+    for k in range(PASSES):
+        own = lists.where(F.pmod("key", F.lit(PASSES)) == k)
+        first = own.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("__c")).where("__c > 1").select("key", "first")
+        listed.append(durable(own.join(first, "key").select("key", "node", "n", "first"), "near-lists"))
+        release(rows.sparkSession)
+    lists = reduce(DataFrame.unionByName, listed)
     discard(marked)
     star = lists.where((F.col("node") > F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n")))
     links = _similar(rows, durable(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs"))
@@ -245,7 +259,8 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     placed = lists.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("__a"), F.max("c").alias("__b")).where("__a < __b").select("key")
     placed = durable(placed.join(open_keys, "key", "left_semi"), "near-open")
-    discard(lists)
+    for part in listed:
+        discard(part)
     groups = placed.groupBy("key", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"])
     # sizes of the two groups must come near each other
