@@ -7,8 +7,8 @@ radius plus threshold (per block, the excess over the radius sums to at most 2):
 differ in at most 2 bits, y reaches the home of x, so one equi-join on the anchor finds every link, and an exact
 ``bit_count(xor)`` decides it.  Work is on distinct fingerprints: copies collapse before anything is replicated.
 
-The pipeline's stage ``near_dedup`` has its own rule, Jaccard similarity of 5-word shingle sets: prefix filtering
-(Chaudhuri et al., 2006) finds every pair that can reach it, and the exact similarity decides.
+The pipeline's stage ``near_dedup`` links by its own rule, an exact Jaccard similarity of 5-word shingle sets.  Prefix filtering
+(Chaudhuri et al., 2006) finds every pair that can reach it.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a very long text is
 hashed whole, its bits counted by pieces of 65,536 shingles; repeated rows get a row each; a null doc_id is never a
@@ -173,10 +173,19 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
 
 
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set's buckets (Mitzenmacher et al., 2014), a power of two of at least a bit per member.
+
+    Two sets differ in at least as many members as their sketches do in bits; the halves of one fold into a shorter one.
+    """
+    m = max(64, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount(h & (m - 1), minlength=m) & 1, bitorder="little").view(np.int64)
+
+
 def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that come up again and again in a sample, and their counts there; they only order prefixes."""
     every = max(1, rows.count() // ORDER_SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64("__row"), F.lit(every)) == 0).select("__row", "text").mapInArrow(_set_batches, "node long, h array<long>")
+    some = rows.where(F.pmod(F.xxhash64("__row"), F.lit(every)) == 0).select(F.xxhash64("__row"), "text").mapInArrow(_set_batches, "node long, h array<long>")
     counts = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
     found = counts.orderBy(F.desc("n"), "h").limit(ORDER_TERMS).toArrow()
     h, n = found.column("h").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
@@ -185,7 +194,9 @@ def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, d1, d2, n, keys): digest and size of each row's shingle set, and its prefix.
+    """(row, doc_id, at, d1, d2, n, sketch, keys): digest, size, sketch and prefix of each row's shingle set.
+
+    ``at`` is the row's key in ``rows``; ``row`` is a number for it.
 
     Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, whatever the one order
     of shingles that all sets are sorted by.  Common ones come last here, so that the lists of keys stay short.
@@ -195,20 +206,23 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
-            digests, sizes, keys = [], [], []
-            for text in b.column(2).to_pylist():
+            digests, sizes, keys, sketches = [], [], [], []
+            for text in b.column(3).to_pylist():
                 h = _shingle_set(text)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
+                sketches.append(_sketch(h))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
                 keys.append(h[: len(h) - -(-len(h) * NEAR[0] // NEAR[1]) + 1])
             d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "doc_id", "d1", "d2", "n", "keys"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), *lists], names=["row", "doc_id", "at", "d1", "d2", "n", "sketch", "keys"])
 
     small_batches(rows.sparkSession)
-    found = rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "row long, doc_id long, d1 long, d2 long, n int, keys array<long>")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("at"), "text")
+    found = numbered.mapInArrow(scan, "row long, doc_id long, at binary, d1 long, d2 long, n int, sketch array<long>, keys array<long>")
     return durable(found, "near-prefixes")
 
 
@@ -216,45 +230,69 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
 
 
-def _similar(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): the pairs of rows whose shingle sets have a Jaccard similarity of ``NEAR`` or more."""
-    asked = pairs.select(F.col("a").alias("__row")).union(pairs.select(F.col("b").alias("__row"))).distinct()
-    sets = durable(rows.select("__row", "text").join(asked, "__row", "left_semi").mapInArrow(_set_batches, "node long, h array<long>"), "near-sets")
+def _may_be_similar(a: Column, b: Column) -> Column:
+    """Whether two structs (n, sketch) allow a similarity of ``NEAR``: a bound, so that no pair which has it is lost."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.size(y["sketch"])
+        halves = F.zip_with(F.slice(x["sketch"], F.lit(1), half), F.slice(x["sketch"], half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x["sketch"]) > half, halves).otherwise(x["sketch"])
+
+    apart = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    differ = F.aggregate(apart, F.lit(0).cast("long"), lambda x, y: x + y)
+    return _sizes_fit(a["n"], b["n"]) & (differ * (NEAR[0] + NEAR[1]) <= (a["n"] + b["n"]) * (NEAR[1] - NEAR[0]))
+
+
+def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes whose shingle sets have a Jaccard similarity of ``NEAR`` or more.
+
+    Sketches, a 64th to a 32nd of the sets, leave the pairs that may have it; whole sets decide on these.
+    """
+    drawn = lambda x: nodes.select(F.col("node").alias(x), F.struct("n", "sketch").alias(f"s{x}"))
+    maybe = pairs.join(drawn("b"), "b").join(drawn("a"), "a").where(_may_be_similar(F.col("sa"), F.col("sb")))
+    close = durable(maybe.select("a", "b").distinct(), "near-close")
+    release(rows.sparkSession)
+    asked = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+    places = nodes.join(asked, "node", "left_semi").select("node", F.col("low.at").alias("__row"))
+    texts = rows.select("__row", "text").join(places, "__row").select("node", "text").dropDuplicates(["node"])
+    sets = durable(texts.mapInArrow(_set_batches, "node long, h array<long>"), "near-sets")
     release(rows.sparkSession)
+    held = lambda x: sets.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"))
     both = F.size(F.array_intersect("ha", "hb"))
     found = []
-    for k in range(PASSES):  # pairs carry sets, so they too go one part after another
-        own = lambda c: F.pmod(F.xxhash64(c), F.lit(PASSES)) == k
-        left = sets.where(own("node")).select(F.col("node").alias("a"), F.col("h").alias("ha"))
-        wide = pairs.where(own("a")).join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b").join(left, "a")
+    for k in range(PASSES):  # pairs carry sets, so they go one part after another
+        wide = close.where(F.pmod(F.xxhash64("a"), F.lit(PASSES)) == k).join(held("b"), "b").join(held("a"), "a")
         found.append(durable(wide.where(both * (NEAR[0] + NEAR[1]) >= (F.size("ha") + F.size("hb")) * NEAR[0]).select("a", "b"), "near-links"))
         release(rows.sparkSession)
-    links = reduce(DataFrame.unionByName, found)
+    discard(close)
     discard(sets)
-    return links
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_sets(rows: DataFrame) -> DataFrame:
-    """(component, doc_id, row): for each group of rows linked by similar shingle sets, its smallest doc_id and row.
+    """(component, doc_id, at): for each group of rows linked by similar shingle sets, its smallest doc_id and key ``__row``.
 
     Equal sets are one node.  Every node is first compared with the smallest node on the list of each of its keys,
     which settles groups of near copies with a number of comparisons in proportion to their size; then all pairs on a
     list that are in different components yet are compared.  A link is only made by the exact similarity.
     """
     marked = _prefixes(rows)
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
-    nodes = durable(marked.groupBy("d1", "d2").agg(F.min("row").alias("node"), low).select("node", "low"), "near-nodes")
-    lists = marked.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("low")
+    same = [F.min("n").alias("n"), F.any_value("sketch").alias("sketch")]  # equal for equal sets
+    nodes = durable(marked.groupBy("d1", "d2").agg(F.min("row").alias("node"), low, *same).drop("d1", "d2"), "near-nodes")
+    release(rows.sparkSession)
     listed = []
     for k in range(PASSES):
-        own = lists.where(F.pmod("key", F.lit(PASSES)) == k)
+        keys = marked.select(F.col("row").alias("node"), "n", F.filter("keys", lambda x: F.pmod(x, F.lit(PASSES)) == k).alias("keys"))
+        own = keys.join(nodes.select("node"), "node", "left_semi").select(F.explode("keys").alias("key"), "node", "n")
         first = own.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("__c")).where("__c > 1").select("key", "first")
         listed.append(durable(own.join(first, "key").select("key", "node", "n", "first"), "near-lists"))
         release(rows.sparkSession)
     lists = reduce(DataFrame.unionByName, listed)
     discard(marked)
     star = lists.where((F.col("node") > F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n")))
-    links = _similar(rows, durable(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs"))
+    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = _similar(rows, nodes, star)
     linked = connected_components(links)
     placed = lists.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("__a"), F.max("c").alias("__b")).where("__a < __b").select("key")
@@ -268,22 +306,27 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     met = side(groups, "a").join(side(groups, "b"), "key").where((F.col("c_a") < F.col("c_b")) & fit).select("key", "c_a", "c_b")
     cross = met.join(side(placed, "a"), ["key", "c_a"]).join(side(placed, "b"), ["key", "c_b"]).where(_sizes_fit(F.col("n_a"), F.col("n_b")))
     cross = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    links = links.unionByName(_similar(rows, durable(cross, "near-pairs")))
+    links = links.unionByName(_similar(rows, nodes, cross))
+    discard(placed)
     found = nodes.join(connected_components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("low").alias("low"))
-    return found.select("component", "low.doc_id", "low.row")
+    found = durable(found.select("component", "low.doc_id", "low.at"), "near-found")
+    discard(nodes)
+    return found
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document, that of the smallest id, of each group of near-duplicates.
 
     Near-duplicates are documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, and all that
-    such links connect; documents without words are one group.  Rows are told apart by a row id, not by ``doc_id``, and the
-    one of the smallest (doc_id, row id) stays, a null id last.
+    such links connect; documents without words are one group.  Rows are told apart by a digest of id and text, not by
+    ``doc_id``, and the one of the smallest (doc_id, digest) stays, a null id last; of rows equal in both, any one.
+    Texts are read from ``docs`` again wherever they are needed, and no copy of them is written.
     """
     reserve(docs, "__row")
-    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    keep = similar_sets(rows).select(F.col("row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(docs.columns)
+    whole = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("__row", F.unhex(F.md5(whole)))
+    keep = similar_sets(rows).select(F.col("at").alias("__row"))
+    return rows.dropDuplicates(["__row"]).join(keep, "__row", "left_semi").select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,48 @@ def test_near_dedup_keeps_rows_that_share_an_id(spark):
     assert ORDER(map(tuple, got)) == ORDER([(3, text("x")), (5, text("y")), (None, text("p")), (None, text("q"))])
 
 
+def test_near_dedup_writes_no_texts_and_few_sets(spark, monkeypatch):
+    rng = random.Random(17)
+    fresh = lambda n: " ".join(f"w{rng.getrandbits(40)}" for _ in range(n))
+    passages = [fresh(40) for _ in range(20)]
+    texts = [f"{fresh(80)} {passages[i % 20]}" for i in range(100)]  # five texts share a passage, a similarity of 0.2
+    texts += [f"{t} more" for t in texts[:3]]
+    written = []
+
+    def durable(df, label):
+        written.append((label, common.durable(df, label)))
+        return written[-1][1]
+
+    monkeypatch.setattr(simhash, "durable", durable)
+    dropped = []
+    monkeypatch.setattr(simhash, "discard", lambda t: dropped.append(t))
+    rows = [(i if i % 10 else None, t, "x" * 9) for i, t in enumerate(texts)]
+    got = simhash.near_dedup(spark.createDataFrame(rows + rows[:30], "doc_id long, text string, more string"))
+    assert not any("text" in t.columns for _, t in written)
+    assert 6 <= sum(t.count() for label, t in written if label == "near-sets") <= 18
+    left = {label for label, t in written if all(t is not d for d in dropped)}
+    assert not left & {"near-prefixes", "near-nodes", "near-lists", "near-close", "near-sets", "near-open"}
+    kept = got.collect()
+    assert len(kept) == 100 and len({r["text"] for r in kept}) == 100 and len(got.columns) == 3
+
+
+def test_sketches_bound_the_difference_of_sets(spark):
+    rng, rows, want = random.Random(19), [], []
+    for size in (1, 2, 5, 40, 63, 64, 65, 70, 128, 129, 140, 1000, 1030, 2500):
+        for share in (0.1, 0.5, 0.7, 0.78, 0.8, 0.82, 0.9, 1.0):
+            both = {rng.getrandbits(63) for _ in range(round(size * share))}
+            a, b = both | {rng.getrandbits(63) for _ in range((size - len(both)) // 2)}, both | {rng.getrandbits(63) for _ in range((size - len(both) + 1) // 2)}
+            if a and b:
+                rows.append([(len(x), simhash._sketch(np.sort(np.array([*x], dtype=np.int64))).tolist()) for x in (a, b)])
+                want.append(5 * len(a & b) >= 4 * len(a | b))
+    pair = "n int, sketch array<long>"
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, a struct<{pair}>, b struct<{pair}>")
+    a, b = df["a"], df["b"]
+    got = df.select("i", simhash._may_be_similar(a, b), simhash._may_be_similar(b, a)).orderBy("i").collect()
+    assert all(r[1] == r[2] and (r[1] or not w) for r, w in zip(got, want, strict=True))
+    assert sum(r[1] for r in got) < 1.5 * sum(want) + 5
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
