@@ -7,8 +7,10 @@ radius plus threshold (per block, the excess over the radius sums to at most 2):
 differ in at most 2 bits, y reaches the home of x, so one equi-join on the anchor finds every link, and an exact
 ``bit_count(xor)`` decides it.  Work is on distinct fingerprints: copies collapse before anything is replicated.
 
-The pipeline's stage ``near_dedup`` links by its own rule, an exact Jaccard similarity of 5-word shingle sets.  Prefix filtering
-(Chaudhuri et al., 2006) finds every pair that can reach it.
+The pipeline's stage ``near_dedup`` links by its own rule, an exact Jaccard similarity of 5-word shingle sets.  SimHash
+fingerprints of these sets, joined by the same covering, give its first candidates and settle most near copies.  Two
+texts may reach that similarity with fingerprints further apart than any covering could join, so prefix filtering
+(Chaudhuri et al., 2006) then finds every other pair that can reach it.  No pair is left out by its fingerprints.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a very long text is
 hashed whole, its bits counted by pieces of 65,536 shingles; repeated rows get a row each; a null doc_id is never a
@@ -62,7 +64,7 @@ def fingerprints(hashes: list[list[int]]) -> np.ndarray:
             part = np.array(h[at : at + 65_536], dtype=np.uint64).view(np.uint8).reshape(-1, 8)
             bits = np.unpackbits(part, axis=1, bitorder="little")
             ones += bits.sum(axis=0, dtype=np.uint16 if len(part) < 65_536 else np.int64)
-        if h:
+        if len(h):
             out[i] = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
     return out
 
@@ -194,7 +196,7 @@ def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, at, d1, d2, n, sketch, keys): digest, size, sketch and prefix of each row's shingle set.
+    """(row, doc_id, at, d1, d2, n, fp, sketch, keys): digest, size, fingerprint, sketch and prefix of each row's shingle set.
 
     ``at`` is the row's key in ``rows``; ``row`` is a number for it.
 
@@ -206,11 +208,12 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
         for b in batches:
-            digests, sizes, keys, sketches = [], [], [], []
+            digests, sizes, keys, fps, sketches = [], [], [], [], []
             for text in b.column(3).to_pylist():
                 h = _shingle_set(text)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
+                fps.append(fingerprints([h.view(np.uint64)])[0])
                 sketches.append(_sketch(h))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -218,11 +221,12 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                 keys.append(h[: len(h) - -(-len(h) * NEAR[0] // NEAR[1]) + 1])
             d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), *lists], names=["row", "doc_id", "at", "d1", "d2", "n", "sketch", "keys"])
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), fp, *lists], names=["row", "doc_id", "at", "d1", "d2", "n", "fp", "sketch", "keys"])
 
     small_batches(rows.sparkSession)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("at"), "text")
-    found = numbered.mapInArrow(scan, "row long, doc_id long, at binary, d1 long, d2 long, n int, sketch array<long>, keys array<long>")
+    found = numbered.mapInArrow(scan, "row long, doc_id long, at binary, d1 long, d2 long, n int, fp long, sketch array<long>, keys array<long>")
     return durable(found, "near-prefixes")
 
 
@@ -269,18 +273,32 @@ def _similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of a size that fits whose fingerprints link.  Nodes of one fingerprint meet its smallest."""
+    heads = durable(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")), "near-heads")
+    same = nodes.select("fp", F.struct("node", "n").alias("to")).join(heads, "fp").where("to.node <> head.node")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = near_pairs(heads.repartition(parts, "fp"))
+    named = linked.join(heads.select(F.col("fp").alias("a"), "head"), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("to")), "b")
+    met = same.select("head", "to").unionByName(named.select("head", "to")).where(_sizes_fit(F.col("head.n"), F.col("to.n")))
+    return met.select(F.least("head.node", "to.node").alias("a"), F.greatest("head.node", "to.node").alias("b"))
+
+
 def similar_sets(rows: DataFrame) -> DataFrame:
     """(component, doc_id, at): for each group of rows linked by similar shingle sets, its smallest doc_id and key ``__row``.
 
-    Equal sets are one node.  Every node is first compared with the smallest node on the list of each of its keys,
-    which settles groups of near copies with a number of comparisons in proportion to their size; then all pairs on a
-    list that are in different components yet are compared.  A link is only made by the exact similarity.
+    Equal sets are one node.  Nodes whose fingerprints link are compared first.  Of the others, every node is compared
+    with the smallest node on the list of each of its keys, unless they are in one component already, which settles
+    groups of near copies with a number of comparisons in proportion to their size; then all pairs on a list that are
+    in different components yet are compared.  A link is only made by the exact similarity.
     """
     marked = _prefixes(rows)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("low")
-    same = [F.min("n").alias("n"), F.any_value("sketch").alias("sketch")]  # equal for equal sets
+    same = [F.min("n").alias("n"), F.min("fp").alias("fp"), F.any_value("sketch").alias("sketch")]  # equal for equal sets
     nodes = durable(marked.groupBy("d1", "d2").agg(F.min("row").alias("node"), low, *same).drop("d1", "d2"), "near-nodes")
     release(rows.sparkSession)
+    links = _similar(rows, nodes, _fingerprint_pairs(nodes))
+    copies = connected_components(links)
     listed = []
     for k in range(PASSES):
         keys = marked.select(F.col("row").alias("node"), "n", F.filter("keys", lambda x: F.pmod(x, F.lit(PASSES)) == k).alias("keys"))
@@ -292,7 +310,10 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     discard(marked)
     star = lists.where((F.col("node") > F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n")))
     star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = _similar(rows, nodes, star)
+    for x in ("a", "b"):
+        star = star.join(copies.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    apart = star.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.unionByName(_similar(rows, nodes, apart))
     linked = connected_components(links)
     placed = lists.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("__a"), F.max("c").alias("__b")).where("__a < __b").select("key")

@@ -174,6 +174,38 @@ def test_sketches_bound_the_difference_of_sets(spark):
     assert sum(r[1] for r in got) < 1.5 * sum(want) + 5
 
 
+def test_near_dedup_links_simhash_fingerprints_first(spark, monkeypatch):
+    rng, seen = random.Random(23), []
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 600))]
+        texts += [" ".join(words), " ".join([*words, "end"]), " ".join(words[1:])]
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    fps = [int(simhash.fingerprints([[simhash.xxhash.xxh64_intdigest(g, 42) for g in s]])[0]) for s in sets]
+    fit = lambda i, j: 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))
+    of = {frozenset((texts[i], texts[j])) for i in range(len(texts)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2 and fit(i, j)}
+    first, pairs_of = [], simhash._fingerprint_pairs
+    monkeypatch.setattr(simhash, "_fingerprint_pairs", lambda nodes: first.append((nodes.collect(), (p := common.durable(pairs_of(nodes), "t")).collect())) or p)
+    near = simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda d: seen.append({r["fp"] & (1 << 64) - 1 for r in d.collect()}) or near(d))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_dedup(docs).collect()
+    assert seen == [set(fps)]
+    (nodes, pairs), = first
+    text = {r["node"]: texts[r["low"]["doc_id"]] for r in nodes}
+    found = {frozenset((text[r["a"]], text[r["b"]])) for r in pairs}
+    assert len(of) > 20 and found <= of and {r["doc_id"] for r in got} == set(jaccard_groups(texts))
+
+    def connected(links):  # pairs go by the smallest node of a fingerprint: what they connect is the same
+        root = {t: t for t in texts}
+        for x, y in map(tuple, links):
+            x, y = root[x], root[y]
+            root = {t: min(x, y) if r in (x, y) else r for t, r in root.items()}
+        return root
+
+    assert connected(found) == connected(of)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
