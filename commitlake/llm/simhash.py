@@ -33,7 +33,8 @@ from .common import connected_components, discard, durable, release, reserve, sm
 THRESHOLD = 2
 SHINGLE = 3
 NEAR_SHINGLE, NEAR = 5, (4, 5)  # words of a shingle, and Jaccard similarity as a fraction, of the pipeline's stage
-ORDER_SAMPLE, ORDER_TERMS = 8_000, 500_000
+ORDER_TERMS = 500_000
+COUNTED = 1 << 22  # shingles that a task counts together before it passes them on
 PASSES = 4  # parts of all keys that are shuffled one after another, which bounds the disk that lists take
 BLOCKS = (0, 23)  # where each Golay block starts
 BLOCK_BITS = 23
@@ -184,15 +185,59 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(h & (m - 1), minlength=m) & 1, bitorder="little").view(np.int64)
 
 
-def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that come up again and again in a sample, and their counts there; they only order prefixes."""
-    every = max(1, rows.count() // ORDER_SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64("__row"), F.lit(every)) == 0).select(F.xxhash64("__row"), "text").mapInArrow(_set_batches, "node long, h array<long>")
-    counts = some.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
-    found = counts.orderBy(F.desc("n"), "h").limit(ORDER_TERMS).toArrow()
-    h, n = found.column("h").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
+def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Heads of the shingle hashes that most rows hold, in ascending order, the rows that hold them, and bits cut off.
+
+    All rows are counted, so that what is common in a larger table is seen there too; counts only order prefixes.
+    Heads of 38 to 44 bits are dealt into buckets by their upper bits, and 32 bits of each are shuffled as packed arrays.
+    """
+    spark = rows.sparkSession
+    upper = min(12, max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    cut = 32 - upper
+
+    def packed(sets: list[np.ndarray]) -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(sets).view(np.uint64) >> np.uint64(cut), return_counts=True)
+        edges = np.searchsorted(u, np.arange((1 << upper) + 1, dtype=np.uint64) << np.uint64(32))
+        u, c, found = u.astype(np.uint32), c.astype(np.uint32), []
+        for bucket in np.flatnonzero(edges[1:] > edges[:-1]):
+            part, n = u[edges[bucket] : edges[bucket + 1]], c[edges[bucket] : edges[bucket + 1]]
+            found.append((int(bucket), part[n == 1].tobytes(), part[n > 1].tobytes(), n[n > 1].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], names=["bucket", "once", "more", "times"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, np.int64)], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.append(_shingle_set(text))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield packed(held)
+                    held, size = [np.zeros(0, np.int64)], 0
+        yield packed(held)
+
+    def add(part: pa.Table) -> pa.Table:
+        once, more, times = (np.frombuffer(b"".join(part.column(x).to_pylist()), np.uint32) for x in ("once", "more", "times"))
+        u, at = np.unique(np.concatenate((once, more)), return_inverse=True)
+        n = np.bincount(at, np.concatenate((np.ones(len(once)), times)), len(u)).astype(np.int64)
+        h = u[n >= 3].astype(np.int64) | part.column("bucket")[0].as_py() << 32
+        return pa.table({"h": h, "n": n[n >= 3]})
+
+    small_batches(spark)
+    dealt = rows.select("text").mapInArrow(scan, "bucket int, once binary, more binary, times binary")
+    counts = durable(dealt.groupBy("bucket").applyInArrow(add, "h long, n long"), "near-common")
+    release(spark)
+    least, room = 3, ORDER_TERMS
+    for n, many in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        if many > room:
+            least = n + 1
+            break
+        room -= many
+    found = counts.where(F.col("n") >= least).toArrow()
+    discard(counts)
+    h, n = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.int64)
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order], cut
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
@@ -201,12 +246,13 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     ``at`` is the row's key in ``rows``; ``row`` is a number for it.
 
     Two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each, whatever the one order
-    of shingles that all sets are sorted by.  Common ones come last here, so that the lists of keys stay short.
+    of shingles that all sets are sorted by.  Common ones come last here, so that the lists of keys stay short, and keys
+    are in that order.
     """
     shared = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows))  # bounded by ORDER_TERMS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
+        known, often, cut = shared.value
         for b in batches:
             digests, sizes, keys, fps, sketches = [], [], [], [], []
             for text in b.column(3).to_pylist():
@@ -216,8 +262,9 @@ def _prefixes(rows: DataFrame) -> DataFrame:
                 fps.append(fingerprints([h.view(np.uint64)])[0])
                 sketches.append(_sketch(h))
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[at] == h, often[at], 0)))]
+                    head = h.view(np.uint64) >> np.uint64(cut)
+                    at = np.minimum(np.searchsorted(known, head), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == head, often[at], 0)))]
                 keys.append(h[: len(h) - -(-len(h) * NEAR[0] // NEAR[1]) + 1])
             d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, keys)]
@@ -288,9 +335,14 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     """(component, doc_id, at): for each group of rows linked by similar shingle sets, its smallest doc_id and key ``__row``.
 
     Equal sets are one node.  Nodes whose fingerprints link are compared first.  Of the others, every node is compared
-    with the smallest node on the list of each of its keys, unless they are in one component already, which settles
+    with one node, the hub, on the list of each of its keys, unless they are in one component already, which settles
     groups of near copies with a number of comparisons in proportion to their size; then all pairs on a list that are
     in different components yet are compared.  A link is only made by the exact similarity.
+
+    The first shingle that two sets share has a place in each, and no shingle before it is in both: from there on must
+    be all that they share (Xiao et al., 2008).  So a key at place p of a set of n shingles only serves for partners of
+    up to ``cap`` = (n / t) - (1 + 1 / t) p shingles, and nodes for which their list has no such partner leave it.  The
+    hub has its key at the earliest place: it has the fewest shingles that others lack.
     """
     marked = _prefixes(rows)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("low")
@@ -301,31 +353,33 @@ def similar_sets(rows: DataFrame) -> DataFrame:
     copies = connected_components(links)
     listed = []
     for k in range(PASSES):
-        keys = marked.select(F.col("row").alias("node"), "n", F.filter("keys", lambda x: F.pmod(x, F.lit(PASSES)) == k).alias("keys"))
-        own = keys.join(nodes.select("node"), "node", "left_semi").select(F.explode("keys").alias("key"), "node", "n")
-        first = own.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("__c")).where("__c > 1").select("key", "first")
-        listed.append(durable(own.join(first, "key").select("key", "node", "n", "first"), "near-lists"))
+        placed_keys = F.transform("keys", lambda x, i: F.struct(x.alias("key"), i.alias("place")))
+        keys = marked.select(F.col("row").alias("node"), "n", F.filter(placed_keys, lambda x: F.pmod(x["key"], F.lit(PASSES)) == k).alias("keys"))
+        own = keys.join(nodes.select("node"), "node", "left_semi").select(F.explode("keys").alias("k"), "node", "n")
+        own = own.select("k.key", "k.place", "node", "n", F.expr(f"(n * {NEAR[1]} - k.place * {sum(NEAR)}) div {NEAR[0]}").alias("cap"))
+        first = own.groupBy("key").agg(F.min(F.struct("place", "node", "n", "cap")).alias("first"), F.min("n").alias("__n"), F.max("cap").alias("__cap"), F.count("*").alias("__c")).where("__c > 1")
+        fits = (F.col("cap") >= F.col("__n")) & (F.col("n") <= F.col("__cap"))
+        listed.append(durable(own.join(first, "key").where(fits).select("key", "node", "n", "cap", "first"), "near-lists"))
         release(rows.sparkSession)
     lists = reduce(DataFrame.unionByName, listed)
     discard(marked)
-    star = lists.where((F.col("node") > F.col("first.node")) & _sizes_fit(F.col("n"), F.col("first.n")))
-    star = star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = lists.where((F.col("node") != F.col("first.node")) & (F.col("n") <= F.col("first.cap")) & (F.col("first.n") <= F.col("cap")))
+    star = star.select(F.least("first.node", "node").alias("a"), F.greatest("first.node", "node").alias("b")).distinct()
     for x in ("a", "b"):
         star = star.join(copies.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
     apart = star.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = links.unionByName(_similar(rows, nodes, apart))
     linked = connected_components(links)
-    placed = lists.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = lists.join(linked, "node", "left").select("key", "node", "n", "cap", F.coalesce("component", "node").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("__a"), F.max("c").alias("__b")).where("__a < __b").select("key")
     placed = durable(placed.join(open_keys, "key", "left_semi"), "near-open")
     for part in listed:
         discard(part)
-    groups = placed.groupBy("key", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    groups = placed.groupBy("key", "c").agg(F.min("n").alias("n"), F.max("cap").alias("cap"))
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"])
-    # sizes of the two groups must come near each other
-    fit = (F.col("most_a") * NEAR[1] >= F.col("least_b") * NEAR[0]) & (F.col("most_b") * NEAR[1] >= F.col("least_a") * NEAR[0])
+    fit = (F.col("n_a") <= F.col("cap_b")) & (F.col("n_b") <= F.col("cap_a"))  # of two nodes, or some of two groups
     met = side(groups, "a").join(side(groups, "b"), "key").where((F.col("c_a") < F.col("c_b")) & fit).select("key", "c_a", "c_b")
-    cross = met.join(side(placed, "a"), ["key", "c_a"]).join(side(placed, "b"), ["key", "c_b"]).where(_sizes_fit(F.col("n_a"), F.col("n_b")))
+    cross = met.join(side(placed, "a"), ["key", "c_a"]).join(side(placed, "b"), ["key", "c_b"]).where(fit)
     cross = cross.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     links = links.unionByName(_similar(rows, nodes, cross))
     discard(placed)

@@ -206,6 +206,37 @@ def test_near_dedup_links_simhash_fingerprints_first(spark, monkeypatch):
     assert connected(found) == connected(of)
 
 
+def test_near_dedup_meets_few_pairs_of_a_crowded_passage(spark, monkeypatch):
+    rng, met = random.Random(29), []
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(240):  # 4 changes: a similarity of 0.75 to the first and less among themselves, so most stay apart
+        words = base[:]
+        for at in rng.sample(range(150), 4 if i % 4 else 2):
+            words[at] = f"x{rng.getrandbits(40)}"
+        texts.append(" ".join(words))
+    similar = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda rows, nodes, pairs: met.append(pairs.count()) or similar(rows, nodes, pairs))
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    root = jaccard_groups(texts)
+    assert len(set(root)) > 60 and ORDER((r["doc_id"],) for r in got.collect()) == ORDER((r,) for r in set(root))
+    assert sum(met) < 10 * len(texts)
+
+
+def test_shingles_are_counted_in_all_rows(spark, monkeypatch):
+    rng = random.Random(31)
+    passages = [[f"w{rng.getrandbits(40)}" for _ in range(20)] for _ in range(30)]
+    texts = [" ".join([f"w{rng.getrandbits(40)}" for _ in range(20)] + p) for i, p in enumerate(passages) for _ in range(1 + i % 10)]
+    want = Counter(int(h) for t in texts for h in simhash._shingle_set(t).view(np.uint64))
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string").repartition(7)
+    monkeypatch.setattr(simhash, "COUNTED", 100)
+    h, n, cut = simhash._common_shingles(rows)
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {x >> cut: c for x, c in want.items() if c >= 3} and h.tolist() == sorted(h.tolist())
+    monkeypatch.setattr(simhash, "ORDER_TERMS", 100)  # 3 passages of 16 shingles in 10 texts each, as many in 9 and in 8
+    h, n, _ = simhash._common_shingles(rows)
+    assert Counter(n.tolist()) == {10: 48, 9: 48}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.connected_components(edges).collect()}
