@@ -20,10 +20,24 @@ def activity(events: DataFrame, now: Column, user: str = "user_id", ts: str = "t
     return last.agg(within(1).alias("dau"), within(7).alias("wau"), within(30).alias("mau"), F.coalesce(F.sum("n"), F.lit(0)).alias("scan_size"))
 
 
+def quantiles(metrics: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(by, quantiles): for each share the least value that at least this share of a metric's values don't exceed.
+
+    Exact: values are counted before they are ranked, so equal ones meet before the shuffle.
+    """
+    counts = metrics.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto, every = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
+    share = F.sum("_n").over(upto) / F.sum("_n").over(every)
+    ranked = counts.select(*by, value, share.alias("_share"))
+    return ranked.groupBy(*by).agg(F.array(*[F.min(F.when(F.col("_share") >= p, F.col(value))) for p in shares]).alias("quantiles"))
+
+
 def metric_rollup(metrics: DataFrame, by: list[str], value: str, ts: str) -> DataFrame:
-    """Counter, gauge, histogram and summary figures of each metric."""
-    q = F.percentile_approx(value, list(QUANTILES), 10_000)
-    return metrics.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max_by(value, ts).alias("latest"), F.min(value).alias("low"), F.max(value).alias("high"), q.alias("quantiles"))
+    """Counter, gauge, histogram and summary figures of each metric; a metric without values has no quantiles."""
+    rolled = metrics.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max_by(value, ts).alias("latest"), F.min(value).alias("low"), F.max(value).alias("high"))
+    q = quantiles(metrics, by, value).select(*[F.col(n).alias(f"_q_{n}") for n in by], "quantiles")
+    same = [F.col(n).eqNullSafe(F.col(f"_q_{n}")) for n in by]
+    return rolled.join(q, same, "left").drop(*[f"_q_{n}" for n in by])
 
 
 def histogram(metrics: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:

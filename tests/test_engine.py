@@ -385,3 +385,16 @@ def test_base32_round_trip(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", scalars.encode_base32("w").alias("c"), scalars.decode_base32(scalars.encode_base32("w")).cast("string").alias("b"))
     for r in df.collect():
         assert r["c"] == base64.b32encode(r["w"].encode()).decode().replace("=", "_", 1).lower() and r["b"] == r["w"]
+
+
+def test_quantiles_are_exact(spark):
+    from commitlake.operators import stats
+
+    n = 60_000
+    ids = spark.range(n).select((F.col("id") % 2).cast("string").alias("name"), ((F.col("id") * 7919) % n).cast("double").alias("v"), F.col("id").alias("t"))
+    odd = spark.createDataFrame([(None, 5.0, 1), (None, None, 2), ("none", None, 3)], "name string, v double, t long")
+    got = {r["name"]: r["quantiles"] for r in stats.metric_rollup(ids.unionByName(odd), ["name"], "v", "t").collect()}
+    for name in ("0", "1"):
+        values = sorted(r["v"] for r in ids.where(F.col("name") == name).collect())
+        assert got[name] == [next(v for i, v in enumerate(values) if (i + 1) / len(values) >= p) for p in stats.QUANTILES]
+    assert got[None] == [5.0] * 3 and got["none"] is None
