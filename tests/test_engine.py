@@ -398,3 +398,19 @@ def test_quantiles_are_exact(spark):
         values = sorted(r["v"] for r in ids.where(F.col("name") == name).collect())
         assert got[name] == [next(v for i, v in enumerate(values) if (i + 1) / len(values) >= p) for p in stats.QUANTILES]
     assert got[None] == [5.0] * 3 and got["none"] is None
+
+
+def test_rich_text_of_many_keys_needs_no_frame_for_each(spark):
+    from commitlake.sources import runs
+
+    tree = lambda t: json.dumps(rt.from_plain(t))
+    rows = [(k if k < 2500 else None, n, n if n else None, tree("ab"), body) for k in range(2501) for n, body in ((2, tree("abc")), (1, tree("b")), (0, tree(f"{k}ab")), (3, None))]
+    leaves = spark.createDataFrame(rows, "key long, id long, ts long, base string, body string")
+    merged = rt.merge_rich_text(leaves)
+    assert {r["key"]: rt.plain_text(json.loads(r["body"])) for r in merged.collect()} == {(k if k < 2500 else None): f"{k}bc" for k in range(2501)}
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().toString()  # it costs some ten milliseconds a key
+    import pyarrow as pa
+
+    batch = lambda *keys: pa.record_batch({"key": pa.array(keys, "float64")})
+    found = list(runs.runs([batch(None, None, 1), batch(1, 1), batch(1, float("nan")), batch(float("nan"))], limit=3))
+    assert [(str(k), c and len(c[0])) for k, c in found] == [("None", 2), ("1.0", None), ("nan", 2)]
