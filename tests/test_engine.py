@@ -414,3 +414,23 @@ def test_rich_text_of_many_keys_needs_no_frame_for_each(spark):
     batch = lambda *keys: pa.record_batch({"key": pa.array(keys, "float64")})
     found = list(runs.runs([batch(None, None, 1), batch(1, 1), batch(1, float("nan")), batch(float("nan"))], limit=3))
     assert [(str(k), c and len(c[0])) for k, c in found] == [("None", 2), ("1.0", None), ("nan", 2)]
+
+
+def test_bloom_filters_meet_packed(spark):
+    import numpy as np
+
+    from commitlake.operators import sync
+
+    offsets = np.unique(np.random.default_rng(1).integers(0, 1 << 16, 5000))
+    for x in (offsets, np.array([0]), np.array([(1 << 16) - 1])):
+        assert (sync._decoded(sync._encoded(x)) == x).all()
+    ids = spark.range(0, 30_000, 1, 3)
+    f = sync.build(ids, "id", 30_000, 1e-4, 5)
+    want = {r["bit"] for r in ids.select(F.explode(sync.positions(F.col("id"), f.m, f.k, 5)).alias("bit")).collect()}
+    got = [r["bit"] for r in f.bits.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan(f.packed)  # no row for each bit
+    others = spark.createDataFrame([(7,), (40_000,), (40_000,), (None,)], "id long")
+    assert [r["id"] for r in sync.absent(others, "id", f).collect()] == [40_000] * 2
+    assert sync.absent(ids, "id", f).isEmpty()
